@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 2_000_000
 U64 = np.uint64
@@ -180,3 +181,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the fold of a document."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows of each label value, chosen by a hash of (doc_id, text).
+
+    Only one count per label value reaches the driver; small classes are kept whole.  The choice
+    depends on the rows alone, so a recomputed task picks the same ones.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().toLocalIterator()}
+    span = 1 << 30
+    rate = F.lit(0)
+    for value, n in sorted(counts.items(), key=str):
+        rate = F.when(F.col(label) == F.lit(value), F.lit(span if n <= per_class else span * per_class // n)).otherwise(rate)
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(span)) < rate)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def schema_with(rows: DataFrame, keep: list[str] | tuple[str, ...], more: str) -> T.StructType:
+    """The schema of ``keep`` columns of rows, followed by the columns of a DDL string."""
+    return T.StructType([*rows.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])
