@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, ngram_trie, quality, sentencepiece_fst, toxicity
+from . import decontaminate, fingerprint, langid, near_dedup, ngram_trie, quality, sentencepiece_fst, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-_ALL = [op1_lm_scoring, op2_toxicity, op4_benchmark_decontamination, op5_sentencepiece, op6_document_fingerprints, op7_language_id, op8_quality]
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_lm_scoring, op2_toxicity, op4_benchmark_decontamination, op5_sentencepiece, op6_document_fingerprints, op7_language_id, op8_quality, op9_near_dedup]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
