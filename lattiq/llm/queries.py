@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langid, near_dedup, ngram_trie, quality, sentencepiece_fst, toxicity
+from . import decontaminate, fingerprint, langid, near_dedup, ngram_trie, quality, sentencepiece_fst, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(_table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_lm_scoring, op2_toxicity, op4_benchmark_decontamination, op5_sentencepiece, op6_document_fingerprints, op7_language_id, op8_quality, op9_near_dedup]
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_benchmark_decontamination, op5_sentencepiece, op6_document_fingerprints, op7_language_id, op8_quality, op9_near_dedup, op10_suffix_dedup]
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {}
