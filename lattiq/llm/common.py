@@ -184,7 +184,7 @@ def bucket_of(doc_id: Column, n: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each label value, chosen by a hash of (doc_id, text).
+    """About ``per_class`` rows of each label value, chosen by a hash of doc_id (and text).
 
     Only one count per label value reaches the driver; small classes are kept whole.  The choice
     depends on the rows alone, so a recomputed task picks the same ones.
@@ -192,9 +192,22 @@ def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().toLocalIterator()}
     span = 1 << 30
     rate = F.lit(0)
+    names = [c for c in ("doc_id", "text") if c in rows.columns]
     for value, n in sorted(counts.items(), key=str):
         rate = F.when(F.col(label) == F.lit(value), F.lit(span if n <= per_class else span * per_class // n)).otherwise(rate)
-    return rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(span)) < rate)
+    return rows.filter(F.pmod(F.xxhash64(*names, F.lit(17)), F.lit(span)) < rate)
+
+
+def labelled_texts(docs: DataFrame, marks: DataFrame, per_class: int) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label) of a bounded sample of the marks (doc_id, label), and all labels' counts.
+
+    The sample is drawn from the marks alone, about ``per_class`` a label value, so the side that is
+    broadcast has a known bound and the documents are not shuffled.
+    """
+    total = {r[0]: r[1] for r in marks.groupBy("label").count().toLocalIterator()}
+    chosen = bounded_sample(marks.select("doc_id", "label"), "label", per_class).collect()
+    small = docs.sparkSession.createDataFrame(chosen, marks.select("doc_id", "label").schema)
+    return docs.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), total
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slice, Words, bounded_sample, bucket_of, mix, schema_with, sigmoid, slices
+from .common import U64, Slice, Words, bucket_of, labelled_texts, mix, schema_with, sigmoid, slices
 
 CELLS, DIM, REACH = 1 << 13, 32, 2
 PER_CLASS = 3000
@@ -195,12 +195,11 @@ def _features(rows: DataFrame, vectors: np.ndarray, keep: list[str], extra) -> D
     return rows.mapInArrow(run, out)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS):
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS):
     """(word vectors, scoring function of pooled vectors)."""
     vectors = word_vectors(docs)
-    labelled = labelled.filter(F.col("label").isin(0, 1)).select("doc_id", "text", "label")
-    total = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    sample = _features(bounded_sample(labelled, "label", per_class), vectors, ["doc_id", "label"], None)
+    texts, total = labelled_texts(docs, marks.filter(F.col("label").isin(0, 1)), per_class)
+    sample = _features(texts, vectors, ["doc_id", "label"], None)
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["label"]))
     y = np.array([r["label"] for r in rows], float)
     if len(set(y.tolist())) < 2:
@@ -225,5 +224,5 @@ def held_out(doc_id: Column) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    fitted = fit(rows, rows.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
+    fitted = fit(rows, marks)
     return predict(rows.withColumn("held_out", held_out(F.col("doc_id"))), fitted, ["doc_id", "held_out"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, Words, bounded_sample, bucket_of, schema_with, sigmoid, signed, slices
+from .common import Slice, Words, bucket_of, labelled_texts, schema_with, sigmoid, signed, slices
 
 PER_CLASS = 1500
 MAX_TERMS = 4096
@@ -187,11 +187,10 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """docs: all (doc_id, text); labelled: (doc_id, text, label) rows that may be learned from."""
-    labelled = labelled.filter(F.col("label").isin(0, 1))
-    total = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    rows = _sampled_terms(bounded_sample(labelled.select("doc_id", "text", "label"), "label", per_class))
+def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """docs: all (doc_id, text); marks: (doc_id, label) rows that may be learned from."""
+    sample, total = labelled_texts(docs, marks.filter(F.col("label").isin(0, 1)), per_class)
+    rows = _sampled_terms(sample)
     y = np.array([r[1] for r in rows], float)
     prior = total.get(1, 0) / max(1, sum(total.values()))
     if len(set(y.tolist())) < 2:
@@ -246,5 +245,5 @@ def held_out(doc_id: Column) -> Column:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    model = fit(rows, rows.filter(~held_out(F.col("doc_id"))).join(marks, "doc_id"))
+    model = fit(rows, marks)
     return predict(rows.withColumn("held_out", held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])
