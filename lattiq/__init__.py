@@ -1,0 +1 @@
+"""A Spark-native engine for pools of candidate transcripts."""
