@@ -38,10 +38,17 @@ ORDER = 3
 MIN_COUNT = 2
 DISCOUNT = 0.6
 SHARD_ROWS = 1_000_000
+SLICE = 1_200_000
 END = U64(0x0123456789ABCDEF)
 ONE = U64(1)
 
 
+_NTH = np.zeros((256, 8), np.int64)  # place of the n-th set bit of a byte
+for _b in range(256):
+    for _n, _p in enumerate(p for p in range(8) if _b >> p & 1):
+        _NTH[_b, _n] = _p
+
+
 class EliasFano:
     """A sorted uint64 sequence: low bits packed, high bits in unary, with a popcount directory."""
 
@@ -69,22 +76,17 @@ class EliasFano:
         return {"n": n, "low": low}, [packed, high, ranks]
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
-        """Position of the k-th (from 0) one or zero bit."""
-        if ones:
-            w = np.searchsorted(self.ranks, k, "right") - 1
-            left, word = k - self.ranks[w], self.high[w]
-        else:
-            zeros = self._zeros
-            w = np.searchsorted(zeros, k, "right") - 1
-            left, word = k - zeros[w], ~self.high[w]
-        pos = np.zeros(len(k), np.uint64)
-        left = left.astype(np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count((word >> pos) & U64((1 << width) - 1)).astype(np.uint64)
-            go = count <= left
-            left = np.where(go, left - count, left)
-            pos = np.where(go, pos + U64(width), pos)
-        return w * 64 + pos.astype(np.int64)
+        """Position of the k-th (from 0) one or zero bit: directory, then byte counts, then a table."""
+        directory = self.ranks if ones else self._zeros
+        w = np.searchsorted(directory, k, "right") - 1
+        left = k - directory[w]
+        word = self.high[w] if ones else ~self.high[w]
+        octets = np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8)
+        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
+        at = (upto <= left[:, None].astype(np.uint8)).sum(1)
+        row = np.arange(len(k))
+        before = np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
+        return w * 64 + at * 8 + _NTH[octets[row, at], left - before]
 
     @property
     def _zeros(self) -> np.ndarray:
@@ -197,13 +199,19 @@ class Shard:
             self.code, self.book, self.mass = a["code"], a["book"], a["mass"]
 
     def children(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, context number) of each (context, word), -1 where absent."""
-        c = self.contexts.find(context.astype(np.uint64))
-        node = np.full(len(context), -1)
+        """(node, context number) of each (context, word), -1 where absent; contexts ascend, so each
+        distinct one is looked up once."""
+        head = np.concatenate([[True], context[1:] != context[:-1]])
+        run = np.cumsum(head) - 1
+        own = self.contexts.find(context[head].astype(np.uint64))
+        lo = np.zeros(len(own), np.int64)
+        hi = np.zeros(len(own), np.int64)
+        there = np.flatnonzero(own >= 0)
+        lo[there], hi[there] = self.pointers.get(own[there]).astype(np.int64), self.pointers.get(own[there] + 1).astype(np.int64)
+        c, node = own[run], np.full(len(context), -1)
         at = np.flatnonzero(c >= 0)
         if len(at):
-            lo, hi = self.pointers.get(c[at]).astype(np.int64), self.pointers.get(c[at] + 1).astype(np.int64)
-            node[at] = self.keys.find(c[at].astype(np.uint64) * U64(self.v) + word[at].astype(np.uint64), lo, hi)
+            node[at] = self.keys.find(c[at].astype(np.uint64) * U64(self.v) + word[at].astype(np.uint64), lo[run[at]], hi[run[at]])
         return node, c
 
 
@@ -251,32 +259,28 @@ class Level:
             out[part] = self.shard(s).count[nodes[part] - self.base[s]]
         return out
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, discounted probability, left-over mass of the context)."""
-        node, d, left = np.full(len(context), -1), np.zeros(len(context)), np.ones(len(context))
-        if not self.paths:
-            return node, d, left
-        which = np.searchsorted(self.first, context, "right") - 1
-        tied = np.flatnonzero((which >= 0) & (self.first[np.maximum(which, 0)] == context))
-        # Several shards may begin with the same context: the word decides among them.
-        lowest = np.searchsorted(self.first, context[tied], "left")
-        for n, t in enumerate(tied):
-            a, b = lowest[n], which[t] + 1
-            which[t] = a + np.searchsorted(self.first_word[a:b], word[t], "right") - 1
-        for s, part in self._grouped(which):
-            if s < 0:
-                continue
-            sh = self.shard(s)
-            i, c = sh.children(context[part], word[part])
-            ok, known = i >= 0, c >= 0
-            node[part[ok]] = i[ok] + self.base[s]
-            d[part[ok]] = sh.book[sh.code[i[ok]]]
-            left[part[known]] = 1 - sh.mass[c[known]]
-        if len(self.seam):
+    def find(self, context: np.ndarray, word: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node or -1, discounted probability, left-over mass of the context).
+
+        Repeated pairs are looked up once and in ascending order, which keeps the searches local.
+        """
+        pairs, back = np.unique(context * v + word, return_inverse=True)
+        node, d, left = np.full(len(pairs), -1), np.zeros(len(pairs)), np.ones(len(pairs))
+        if self.paths:
+            context, word = pairs // v, pairs % v
+            for s, part in self._grouped(np.searchsorted(self.first * v + self.first_word, pairs, "right") - 1):
+                if s < 0:
+                    continue
+                sh = self.shard(s)
+                i, c = sh.children(context[part], word[part])
+                ok, known = i >= 0, c >= 0
+                node[part[ok]] = i[ok] + self.base[s]
+                d[part[ok]] = sh.book[sh.code[i[ok]]]
+                left[part[known]] = 1 - sh.mass[c[known]]
             k = np.minimum(np.searchsorted(self.seam, context), len(self.seam) - 1)
             hit = self.seam[k] == context
             left[hit] = 1 - self.seam_mass[k[hit]]
-        return node, d, left
+        return node[back], d[back], left[back]
 
 
 @dataclass
@@ -309,9 +313,9 @@ class Model:
             at = np.flatnonzero((before >= 0) & (place >= n - 2))
             w = ids[at]
             known = at[w >= 0]
-            here[known], d[known], left[known] = self.levels[n - 1].find(before[known], ids[known])
+            here[known], d[known], left[known] = self.levels[n - 1].find(before[known], ids[known], self.types)
             rest = at[w < 0]
-            _, _, left[rest] = self.levels[n - 1].find(before[rest], np.zeros(len(rest), np.int64))
+            _, _, left[rest] = self.levels[n - 1].find(before[rest], np.zeros(len(rest), np.int64), self.types)
             yield here, d, left
             before = np.concatenate([[-1], here[:-1]]) if len(here) else here
             before[place == 0] = -1
@@ -333,7 +337,7 @@ def _emit(keys: np.ndarray, counts: np.ndarray, v: int) -> pa.RecordBatch:
 class _Tally:
     """Counts of keys, merged whenever the pending keys outgrow ``limit``."""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = 1_000_000):
         self.keys, self.counts, self.pending, self.limit = [], [], 0, limit
 
     def add(self, keys: np.ndarray) -> bool:
@@ -356,7 +360,7 @@ def _words(training: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, m = _Tally(), Model(0, 0, [])
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=SLICE):
                 if tally.add(m.tokens(Words(s, fold=True), s)[0]):
                     k, c = tally.take()
                     yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c)], ["h", "n"])
@@ -372,7 +376,7 @@ def _grams(training: DataFrame, model: Model, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, tally = shipped.value, _Tally()
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=SLICE):
                 h, first = m.tokens(Words(s, fold=True), s)
                 m.look_up(h)
                 place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
@@ -465,7 +469,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            for s in slices(batch, "_text"):
+            for s in slices(batch, "_text", SLICE):
                 h, first = m.tokens(Words(s, fold=True), s)
                 count = m.look_up(h)
                 base = (count + 1) / (m.total + m.types + 1)
