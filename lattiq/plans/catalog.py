@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from . import selection  # noqa: F401
+from . import ladder, networks, selection  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
