@@ -210,6 +210,38 @@ def labelled_texts(docs: DataFrame, marks: DataFrame, per_class: int) -> tuple[D
     return docs.join(F.broadcast(small), "doc_id").select("doc_id", "text", "label"), total
 
 
+FILTER_BITS = 1 << 26
+
+
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id may be in ids: all that are, and few others, without moving texts.
+
+    A Bloom filter of ids (about 16 bits each, at most FILTER_BITS in all, so what is broadcast is
+    bounded) is or-ed together on the executors and applied where the documents are read.  More ids
+    than the filter can tell apart only let more rows through; callers join exactly afterwards.
+    """
+    spark = docs.sparkSession
+    n = ids.count()
+    bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
+    place = F.explode(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(bits)))).alias("p")
+    words = ids.select(place).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))
+    table = np.zeros(bits // 32, np.uint32)
+    got = words.toPandas() if n else None
+    if got is not None:
+        table[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
+    shipped = spark.sparkContext.broadcast(table)
+    keyed = docs.select("*", F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)]).alias("_places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shipped.value
+        for batch in batches:
+            at = batch.column("_places").flatten().to_numpy().reshape(-1, 4)
+            hit = ((t[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1)
+            yield batch.drop_columns(["_places"]).filter(pa.array(hit))
+
+    return keyed.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 

@@ -4,11 +4,12 @@ A document's set is its distinct 5-word shingles (hashes of lower-cased words).
 
 1. Documents with equal sets collapse to the smallest doc_id by one partially aggregated group-by.
 2. Inverted lists hold, for each of the ``PROBES`` smallest hash values of a set, the documents that
-   retain it.  Two sets of Jaccard similarity J share none of them with probability (1-J)**PROBES at
-   most.  Lists of one document are dropped, lists with the same members are kept once.
-3. A list of up to ``BLOCK`` members is one block.  A longer one is cut by size class (linked sets
-   differ by at most one class) and by hash into blocks, and every two blocks that may hold links
-   meet in a task of their own, so no group is ever collected whole and none is dropped.
+   retain it.  Two sets of similarity 0.85 share fewer than two of them with probability 4e-7, so
+   pairs of a short list (up to ``SHORT`` documents) that share fewer than two, or differ too much in
+   size, are dropped; members of a long list stay only where a second retained value is shared too.
+3. What is left of a list is one block.  A list of more than ``BLOCK`` members is cut by size class
+   (linked sets differ by at most one class) and by hash into blocks, and every two blocks that may
+   hold links meet in a group of their own, so no group is ever collected whole and none is dropped.
 4. In a block, overlaps of the bottom-``SKETCH`` sketches are counted through the retained values, the
    union-sketch estimate drops pairs more than ``SLACK`` below the threshold, and the rest are
    confirmed on the full sets.  Pairs already connected through confirmed links are skipped, so a
@@ -30,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, signed, slices, stored
+from .common import Words, grams, possible, signed, slices, stored
 
 K = 5
-PROBES = 8
+PROBES = 10
+SHORT = 16
 SKETCH = 128
 SLACK = 0.16
-BLOCK = 128
+BLOCK = 512
 PERCENT = 85
 
 
@@ -158,13 +160,37 @@ def _blocks(lists: DataFrame) -> DataFrame:
     return short.unionByName(long)
 
 
+def _candidates(twins: DataFrame) -> DataFrame:
+    """(v, doc_id, n, m): lists of the documents that share at least two retained values."""
+    docs = twins.select(F.col("rep").alias("doc_id"), "n", "probes")
+    entries = docs.select(F.explode("probes").alias("v"), "doc_id", "n", "probes")
+    sizes = entries.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
+    entries = stored(entries.join(sizes, "v"), "entries")
+    short = entries.filter(F.col("m") <= SHORT).drop("m")
+    side = lambda s: short.select("v", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "probes")])
+    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("probes_a", "probes_b")) >= F.least(F.lit(2), "n_a", "n_b"))
+    pairs = side("a").join(side("b"), "v").filter(F.col("doc_id_a") < F.col("doc_id_b")).filter(alike)
+    pairs = pairs.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b").agg(F.min("v").alias("v"))
+    ends = pairs.select("v", F.explode(F.array(F.struct(F.col("doc_id_a").alias("doc_id"), F.col("n_a").alias("n")), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("n_b").alias("n")))).alias("x"))
+    kept = ends.select("v", "x.doc_id", "x.n").distinct()
+    long = entries.filter(F.col("m") > SHORT).select("v", "doc_id", "n", F.explode_outer(F.filter("probes", lambda p: p > F.col("v"))).alias("second"))
+    twice = long.groupBy("v", "second").agg(F.count("*").alias("k")).filter((F.col("k") > 1) | F.col("second").isNull())
+    kept = kept.unionByName(long.join(twice.drop("k"), (long["v"] == twice["v"]) & long["second"].eqNullSafe(twice["second"]), "left_semi").select("v", "doc_id", "n").distinct())
+    kept = stored(kept, "kept")
+    lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).filter("m > 1")
+    return kept.join(lists.groupBy("m", "s1", "s2").agg(F.min("v").alias("v")).select("v", "m"), "v")
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the wanted documents, one row each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch):
                 yield pa.RecordBatch.from_arrays([s.rows.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(s)], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    sets = possible(docs.select("doc_id", "text"), wanted).mapInArrow(run, "doc_id long, shingles binary")
+    return sets.join(wanted, "doc_id", "left_semi")
 
 
 def _confirmed(members: DataFrame) -> DataFrame:
@@ -220,11 +246,8 @@ def classes(docs: DataFrame) -> DataFrame:
     filled = profile.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     twins = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("probes").alias("probes"))
     twins = stored(twins, "twins")
-    entries = twins.select(F.explode("probes").alias("v"), F.col("rep").alias("doc_id"), "n").distinct()
-    lists = entries.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).filter("m > 1")
-    lists = lists.groupBy("m", "s1", "s2").agg(F.min("v").alias("v")).select("v", "m")
-    members = stored(_blocks(entries.join(lists, "v")), "members")
-    sets = _full_sets(docs, members.select("doc_id").distinct()).dropDuplicates(["doc_id"])
+    members = stored(_blocks(_candidates(twins)), "members")
+    sets = _full_sets(docs, members.select("doc_id").distinct())
     found = _confirmed(members.join(sets, "doc_id"))
     # Rows of one doc_id with different texts are one node, and so are equal sets.
     same = filled.join(twins.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep")
