@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors, recurring
-from .common import Words, grams, signed, slices, stored
+from .common import Words, grams, possible, signed, slices, stored
 
 WINDOW, GRAM = 50, 10
 SHARD_WINDOWS = 20_000
@@ -225,7 +225,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     everything = stored(marked.select("doc_id", "n_words", "digest", whole.alias("whole"), "anchors"), "marked")
     entries = everything.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
     wanted = entries.join(recurring(entries, across=True), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    subject = stored(docs.join(wanted, "doc_id"), "subjects")
+    wanted = stored(wanted, "wanted")
+    subject = stored(possible(docs, wanted.select("doc_id")).join(wanted, "doc_id"), "subjects")
     segments = stored(_segments(subject), "segments")
     hits = _hits(segments)
     placed = segments.select("doc_id", "start", "segment").join(hits, "segment")

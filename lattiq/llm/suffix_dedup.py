@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors, recurring
-from .common import _BYTE, U64, Slice, grams, mix, signed, slices, stored
+from .common import _BYTE, U64, Slice, grams, mix, possible, signed, slices, stored
 
 WINDOW, GRAM = 100, 24
 HOT = 1024
@@ -250,7 +250,8 @@ def report(docs: DataFrame) -> DataFrame:
     everything = stored(profile.join(first, "digest", "left").withColumn("whole", whole).drop("first"), "marked")
     entries = everything.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
     wanted = entries.join(recurring(entries, across=False), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    subject = stored(docs.join(wanted, "doc_id"), "subjects")
+    wanted = stored(wanted, "wanted")
+    subject = stored(possible(docs, wanted.select("doc_id")).join(wanted, "doc_id"), "subjects")
     segments = stored(_segments(subject), "segments")
     distinct = segments.groupBy("segment").agg(F.first("h").alias("h"), F.min(F.struct("doc_id", "start")).alias("at"), F.first("bytes").alias("bytes"))
     distinct = stored(distinct, "distinct")
