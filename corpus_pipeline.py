@@ -28,32 +28,31 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = langid.fit(known)
-    return langid.predict(docs, model, columns).filter((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # extra columns may be called like the verdicts
+    judged = langid.predict(docs.toDF(*names), model, names, names[docs.columns.index("text")])
+    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.classes(docs).filter("kept").select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    kept = near_dedup.classes(docs).filter("kept").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     everything, cut = substring_dedup.removals(_narrow(docs))
     gone = everything.filter("whole").select("doc_id").union(cut.filter(F.length("kept") == 0).select("doc_id")).filter("doc_id is not null").distinct()
-    changed = cut.filter(F.length("kept") > 0).select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"])
-    left = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    left = left.join(changed, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    new = {"text": F.coalesce("_kept", "text"), "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}
+    changed = cut.filter(F.length("kept") > 0).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
+    left = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    left = left.join(changed, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long"))}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.occurrences(docs, items).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

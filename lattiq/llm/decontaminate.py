@@ -173,6 +173,23 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without any occurrence, all columns as they are; nothing is shuffled."""
+    spark, schema = docs.sparkSession, docs.schema
+    queries = windows_of([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator()], window)
+    for lo in range(0, len(queries), BLOCK_WINDOWS):
+        shipped = spark.sparkContext.broadcast(Phrases.build(queries[lo : lo + BLOCK_WINDOWS], window))
+
+        def keep(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in slices(batch, limit=SHARD_BYTES):
+                    hits, _ = _search(Words(s, SEPARATORS, fold=True), s.n, shipped.value)
+                    yield s.rows.filter(pa.array([not h for h in hits], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, schema)
+    return docs
+
+
 def n_covered(hits: str = "hits") -> F.Column:
     """Number of words in the union of the half-open ranges."""
     step = lambda acc, h: F.struct((acc["n"] + F.greatest(h["hi"] - F.greatest(acc["end"], h["lo"]), F.lit(0))).alias("n"), F.greatest(acc["end"], h["hi"]).alias("end"))

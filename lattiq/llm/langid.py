@@ -148,10 +148,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return m
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of docs with lang_pred, score and ambiguous for every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    rows = docs.select(*keep, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     schema = schema_with(rows, keep, "lang_pred string, score double, ambiguous boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
