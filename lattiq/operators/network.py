@@ -259,7 +259,10 @@ def _matrix(micro: DataFrame) -> DataFrame:
 
 
 def switch_edits(rows: list[list[str]], ref: list[str], most: int) -> list[int]:
-    """Fewest edits of a path that changes candidate at most s times, for s = 0 .. most."""
+    """Fewest edits of a path that changes candidate at most s times, for s = 0 .. most.
+
+    Reference words are skipped after a micro-slot, not before the first one.
+    """
     n, far = len(ref), 1e9
     if not rows:
         return [n] * (most + 1)
