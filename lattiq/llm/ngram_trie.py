@@ -135,8 +135,12 @@ class EliasFano:
 
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and a codebook of 256 quantiles; every value is rounded down."""
-    book = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="lower")) if len(values) else np.zeros(1)
+    """One-byte codes and a codebook of 256 levels: the values themselves where they are few, else
+    geometric steps from the least to the largest.  Every value is rounded down."""
+    book = np.unique(values)
+    if len(book) > 256:
+        book = np.geomspace(book[0], book[-1], 256)
+        book[0] = values.min()
     code = np.maximum(np.searchsorted(book, values, "right") - 1, 0)
     return code.astype(np.uint8), book.astype(np.float64)
 

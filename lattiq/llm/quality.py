@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,10 @@ def _features(rows: DataFrame, vectors: np.ndarray, keep: list[str], extra) -> D
     return rows.mapInArrow(run, out)
 
 
+def _constant(rate: float, x: np.ndarray) -> np.ndarray:
+    return np.full(len(x), rate)
+
+
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS):
     """(word vectors, scoring function of pooled vectors)."""
     vectors = word_vectors(docs)
@@ -204,7 +209,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS):
     y = np.array([r["label"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         rate = float(total.get(1, 0) / max(1, sum(total.values())))
-        return vectors, lambda x: np.full(len(x), rate)
+        return vectors, partial(_constant, rate)
     x = np.array([r["x"] for r in rows], np.float32)
     weight = np.where(y > 0, total[1] / y.sum(), total[0] / (len(y) - y.sum()))
     model = _train(x, y, weight / weight.mean(), vectors)

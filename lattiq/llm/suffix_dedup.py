@@ -39,6 +39,14 @@ HOT = 1024
 CHUNK = 600_000
 
 
+def _ahead(x: np.ndarray, step: int) -> np.ndarray:
+    """x moved forward by step places, zeros beyond the end."""
+    out = np.zeros(len(x), np.int64)
+    if step < len(x):
+        out[: len(x) - step] = x[step:]
+    return out
+
+
 class RunLengthIndex:
     """Index of the concatenation of texts, each closed by its own terminator.
 
@@ -59,12 +67,12 @@ class RunLengthIndex:
         longest = int(size.max())
         key = np.zeros(n, np.int64)
         for j in range(6):
-            key = key * 257 + np.where(left >= j, np.concatenate([code[j:], np.zeros(j, np.int64)]), 0)
+            key = key * 257 + np.where(left >= j, _ahead(code, j), 0)
         rank, deep = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1, 6
         at_depth = rank if depth <= 6 else None
         while deep < max(longest, depth):
             step = min(deep, depth - deep) if deep < depth else deep
-            far = np.where(left >= step, np.concatenate([rank[step:], np.zeros(step, np.int64)])[:n], 0)
+            far = np.where(left >= step, _ahead(rank, step), 0)
             rank = np.unique(rank * (n + 2) + far, return_inverse=True)[1].astype(np.int64) + 1
             deep += step
             if deep == depth:
@@ -107,12 +115,11 @@ class RunLengthIndex:
         for step in range(1, int(length[0]) + 1 if len(length) else 1):
             n = int(np.searchsorted(-length, -step, "right"))
             place = self.back(place[:n])
-            if step >= 1:
-                first = self.earliest(place)
-                at = self.end[live[:n]] - step
-                hit = np.flatnonzero((first >= 0) & (first < at))
-                texts.append(live[hit])
-                offsets.append(at[hit] - self.begin[live[hit]])
+            first = self.earliest(place)
+            at = self.end[live[:n]] - step
+            hit = np.flatnonzero((first >= 0) & (first < at))
+            texts.append(live[hit])
+            offsets.append(at[hit] - self.begin[live[hit]])
         return (np.concatenate(texts), np.concatenate(offsets)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
@@ -175,7 +182,7 @@ def _indexed(segments: DataFrame) -> DataFrame:
     """Marks of the segments of cold anchors: (segment, offsets of windows that start earlier too)."""
 
     def flush(ids: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
-        text, off = RunLengthIndex(texts).repeated() if len(texts) > 1 or texts else (np.zeros(0, np.int64),) * 2
+        text, off = RunLengthIndex(texts).repeated()
         order = np.lexsort((off, text))
         text, off = text[order], off[order]
         own, begin = np.unique(text, return_index=True)

@@ -7,25 +7,28 @@ def test_stages(spark, docs, rows, tmp_path):
     import corpus_pipeline as cp
 
     spark.createDataFrame([(1, " ".join(rows[9][1].split()[:30]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    kept = docs
-    sizes = {}
+    sizes, kept = {}, docs
     for name, stage in cp.STAGES:
         before = kept.collect()
-        kept = stage(spark, kept, str(tmp_path))
-        kept.write.parquet(str(tmp_path / name))
-        kept = spark.read.parquet(str(tmp_path / name))
-        sizes[name] = kept.count()
+        out = stage(spark, kept, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        sizes[name] = out.count()
         plain = [(r["doc_id"], r["text"]) for r in before]
+        ids = {r["doc_id"] for r in out.collect()}
         if name != "tokens":
-            assert kept.columns == docs.columns
-        ids = {r["doc_id"] for r in kept.collect()}
+            assert out.columns == docs.columns
+        if name == "language":
+            assert not ids & {500, 501, 502}
+            continue  # the made-up languages are alike: the next stage starts from all documents
+        kept = out
         if name == "near_duplicates":
             assert ids == {i for i, c in brute_classes(plain).items() if c[2]}
         if name == "substrings":
             assert ids == {i for i, n, gone, _ in brute_words(plain) if gone < n or n == 0}
         if name == "benchmark":
             assert rows[9][0] not in ids
-    assert 0 < sizes["tokens"] == sizes["benchmark"] < sizes["language"]
+    assert 0 < sizes["tokens"] == sizes["benchmark"] < sizes["near_duplicates"]
 
 
 def test_run(spark, docs, empty, tmp_path):
