@@ -71,10 +71,10 @@ def random_effects(effects: DataFrame, by: list[str]) -> DataFrame:
     one = e.groupBy(*by).agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), F.sum(F.col("w") * F.col("delta")).alias("swd"), F.count("*").alias("k_sets"), F.count_if(F.col("delta") > 0).alias("n_positive"))
     x = e.join(one, by)
     q = x.groupBy(*by).agg(F.sum(F.col("w") * F.pow(F.col("delta") - F.col("swd") / F.col("sw"), F.lit(2.0))).alias("q"))
-    spread = one.join(q, by).withColumn("tau2", F.when(F.col("k_sets") > 1, F.greatest(F.lit(0.0), (F.col("q") - (F.col("k_sets") - 1)) / (F.col("sw") - F.col("sw2") / F.col("sw")))).otherwise(0.0))
+    spread = one.join(q, by).withColumn("tau2", F.when(F.col("k_sets") > 1, F.greatest(F.lit(0.0), F.try_divide(F.col("q") - (F.col("k_sets") - 1), F.col("sw") - F.col("sw2") / F.col("sw")))).otherwise(0.0))
     y = e.join(spread.select(*by, "tau2"), by).withColumn("wr", F.try_divide(F.lit(1.0), F.col("se") * F.col("se") + F.col("tau2")))
     pooled = y.groupBy(*by).agg((F.sum(F.col("wr") * F.col("delta")) / F.sum("wr")).alias("pooled"), F.sqrt(1.0 / F.sum("wr")).alias("pooled_se"))
-    i2 = F.when((F.col("q") > 0) & (F.col("k_sets") > 1), F.greatest(F.lit(0.0), (F.col("q") - (F.col("k_sets") - 1)) / F.col("q"))).otherwise(0.0)
+    i2 = F.when((F.col("q") > 0) & (F.col("k_sets") > 1), F.greatest(F.lit(0.0), F.try_divide(F.col("q") - (F.col("k_sets") - 1), F.col("q")))).otherwise(0.0)
     return spread.join(pooled, by).select(*by, "k_sets", "pooled", (F.col("pooled") - 1.96 * F.col("pooled_se")).alias("ci_low"), (F.col("pooled") + 1.96 * F.col("pooled_se")).alias("ci_high"), "tau2", i2.alias("i2"), "n_positive")
 
 
