@@ -304,7 +304,7 @@ class Model:
     def nodes(self, h: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For levels 2 .. depth: (node, d, left) of the n-gram that ends at each token.
 
-        A row's first word has the end token as its only context; longer n-grams stay in the row.
+        A row begins with one end token as context and no further back: rows never meet.
         """
         ids = self.ids
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))

@@ -38,7 +38,7 @@ def brute_scores(rows, held):
     kept2 = {k: n for k, n in two.items() if n >= 2}
     for i, w in texts:
         if not held(i):
-            three.update(t for t in zip(w, w[1:], w[2:]) if t[:2] in kept2 and t[1:] in kept2)
+            three.update(t for t in zip([None, *w], w, w[1:]) if t[:2] in kept2 and t[1:] in kept2)
     kept3 = {k: n for k, n in three.items() if n >= 2}
     total, types = sum(uni.values()), len(uni)
     mass2, mass3 = collections.Counter(), collections.Counter()
@@ -54,7 +54,7 @@ def brute_scores(rows, held):
             base += math.log10(p)
             c = w[j - 1] if j else None
             p = ((kept2[(c, x)] - 0.6) / uni[c] if (c, x) in kept2 else 0) + (1 - mass2[c]) * p
-            c2 = (w[j - 2], w[j - 1]) if j >= 2 else None
+            c2 = (w[j - 2] if j >= 2 else None, w[j - 1]) if j else None
             if c2 in kept2:
                 p = ((kept3[(*c2, x)] - 0.6) / two[c2] if (*c2, x) in kept3 else 0) + (1 - mass3[c2]) * p
             score += math.log10(p)
