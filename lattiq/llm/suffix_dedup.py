@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors, recurring
-from .common import _BYTE, U64, Slice, grams, mix, possible, signed, slices, stored
+from .common import _BYTE, U64, Slice, discard, grams, mix, possible, signed, slices, stored
 
 WINDOW, GRAM = 100, 24
 HOT = 1024
@@ -254,10 +254,13 @@ def report(docs: DataFrame) -> DataFrame:
     profile = stored(profiles(docs), "profiles")
     first = profile.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"))
     whole = F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("first") < F.col("doc_id")), F.lit(False))
-    everything = stored(profile.join(first, "digest", "left").withColumn("whole", whole).drop("first"), "marked")
-    entries = everything.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
+    marked = stored(profile.join(first, "digest", "left").withColumn("whole", whole).drop("first"), "marked")
+    discard(profile)
+    everything = stored(marked.drop("anchors"), "everything")
+    entries = marked.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
     wanted = entries.join(recurring(entries, across=False), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     wanted = stored(wanted, "wanted")
+    discard(marked)
     subject = stored(possible(docs, wanted.select("doc_id")).join(wanted, "doc_id"), "subjects")
     segments = stored(_segments(subject), "segments")
     distinct = segments.groupBy("segment").agg(F.first("h").alias("h"), F.min(F.struct("doc_id", "start")).alias("at"), F.first("bytes").alias("bytes"))
@@ -270,9 +273,12 @@ def report(docs: DataFrame) -> DataFrame:
     own = F.transform(F.coalesce("offs", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("lo"), (F.col("start") + o + WINDOW).alias("hi")))
     all_ = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
     spans = placed.withColumn("spans", F.when(is_first, own).otherwise(all_)).filter(F.size("spans") > 0)
-    found = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    cut = _cut(subject.select("doc_id", "text").join(found, "doc_id")).dropDuplicates(["doc_id"])
-    out = everything.drop("anchors").join(cut, "doc_id", "left")
+    found = stored(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "found")
+    discard(distinct)
+    discard(segments)
+    texts = possible(subject.select("doc_id", "text"), found.select("doc_id"))
+    cut = _cut(texts.join(found, "doc_id")).dropDuplicates(["doc_id"])
+    out = everything.join(cut, "doc_id", "left")
     none = F.lit(0).cast("long")
     return out.select(
         "doc_id",
