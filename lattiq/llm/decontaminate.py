@@ -30,7 +30,7 @@ from .common import Slice, Words, slices
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 2_000_000
 
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[0x00:0x30] = SEPARATORS[0x3A:0x41] = SEPARATORS[0x5B:0x61] = SEPARATORS[0x7B:0x80] = True

@@ -36,7 +36,7 @@ from .anchors import Anchors, recurring
 from .common import Words, grams, possible, signed, slices, stored
 
 WINDOW, GRAM = 50, 10
-SHARD_WINDOWS = 20_000
+SHARD_WINDOWS = 12_000
 SALT_SEGMENTS = 64
 
 
