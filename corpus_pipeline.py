@@ -5,7 +5,8 @@ columns of ``documents``, and so has every stage's result but the last one's.  N
 expressed in one SQL statement, so there is no ORACLE_SQL; tests compare the stages with brute force.
 
 * language: texts without a letter or with an ambiguous language go.
-* near_duplicates: one document (the smallest doc_id) of each near-duplicate class stays.
+* near_duplicates: one document (the smallest doc_id) of each near-duplicate class stays; documents
+  are linked from a Jaccard similarity of 80 % on.
 * substrings: words of 50-word passages that an earlier document holds are cut out of the text;
   documents of which nothing is left go.
 * benchmark: documents that hold a benchmark passage go.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from lattiq.llm import decontaminate, langid, near_dedup, sentencepiece_fst, substring_dedup
 from lattiq.llm.common import stored
 
+NEAR_PERCENT = 80
+
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -36,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.classes(docs).filter("kept").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    kept = near_dedup.classes(docs, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
 

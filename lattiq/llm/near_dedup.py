@@ -1,17 +1,18 @@
 """MinHash near-duplicate classes from bottom-k sketches of one hash function.
 
-A document's set is its distinct 5-word shingles (hashes of lower-cased words).
+A document's set is its distinct 5-word shingles (hashes of lower-cased words).  Two sets are linked
+from a similarity of ``percent`` on, which the caller chooses (op9 ``PERCENT``, the pipeline 80).
 
 1. Documents with equal sets collapse to the smallest doc_id by one partially aggregated group-by.
-2. Inverted lists hold, for each of the ``PROBES`` smallest hash values of a set, the documents that
-   retain it.  Two sets of similarity 0.85 share fewer than two of them with probability 4e-7, so
-   pairs of a short list (up to ``SHORT`` documents) that share fewer than two, or differ too much in
+2. Inverted lists hold, for each of the ``probes_of(percent)`` smallest hash values of a set, the
+   documents that retain it.  Two sets at the threshold share fewer than two of them with probability
+   ``MISS`` at most (10 values at 85 %, 12 at 80 %), so pairs of a short list (up to ``SHORT`` documents) that share fewer than two, or differ too much in
    size, are dropped; members of a long list stay only where a second retained value is shared too.
 3. What is left of a list is one block.  A list of more than ``BLOCK`` members is cut by size class
    (linked sets differ by at most one class) and by hash into blocks, and every two blocks that may
    hold links meet in a group of their own, so no group is ever collected whole and none is dropped.
 4. In a block, overlaps of the bottom-``SKETCH`` sketches are counted through the retained values, the
-   union-sketch estimate drops pairs more than ``SLACK`` below the threshold, and the rest are
+   union-sketch estimate drops pairs more than ``SLACK`` standard deviations below the threshold, and the rest are
    confirmed on the full sets.  Pairs already connected through confirmed links are skipped, so a
    block returns at most one link a member.
 5. Components by alternating neighbour minimum and pointer jumping on tables in the shared folder.
@@ -34,14 +35,28 @@ from pyspark.sql import functions as F
 from .common import Words, grams, possible, signed, slices, stored
 
 K = 5
-PROBES = 10
+MISS = 4e-7
 SHORT = 16
 SKETCH = 128
-SLACK = 0.16
+SLACK = 5.07
 BLOCK = 512
 PERCENT = 85
 
 
+def probes_of(percent: int) -> int:
+    """The fewest retained values of which a pair at the threshold shares two but for ``MISS``."""
+    j, n = percent / 100, 2
+    while (1 - j) ** n + n * j * (1 - j) ** (n - 1) > MISS:
+        n += 1
+    return n
+
+
+def least_estimate(percent: int) -> float:
+    """The union-sketch estimate below which a pair is not confirmed."""
+    j = percent / 100
+    return j - SLACK * float(np.sqrt(j * (1 - j) / SKETCH))
+
+
 def shingle_sets(s, fold: bool = True) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row of a slice."""
     w = Words(s, fold=fold)
@@ -59,8 +74,9 @@ def shingle_sets(s, fold: bool = True) -> list[np.ndarray]:
 _PROFILE = "doc_id long, n_shingles long, set_a long, set_b long, probes array<long>"
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, set size, a 128-bit digest of the set, and its smallest values."""
+    probes = probes_of(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +85,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 xor = np.array([np.bitwise_xor.reduce(x) if len(x) else 0 for x in sets], np.uint64)
                 total = np.array([x.sum(dtype=np.uint64) if len(x) else 0 for x in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [s.rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(xor)), pa.array(signed(total)), pa.array([signed(x[:PROBES]) for x in sets], pa.list_(pa.int64()))],
+                    [s.rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(signed(xor)), pa.array(signed(total)), pa.array([signed(x[:probes]) for x in sets], pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "set_a", "set_b", "probes"],
                 )
 
@@ -118,7 +134,7 @@ def links(sets: list[np.ndarray], left: np.ndarray | None = None, percent: int =
         m[owner[here], column[here] - lo] = 1
         common += m @ m.T
     ratio_ok = 100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None])
-    floor = (percent / 100 - SLACK) * np.minimum(np.minimum(size, SKETCH)[:, None], np.minimum(size, SKETCH)[None]) / 2
+    floor = least_estimate(percent) * np.minimum(np.minimum(size, SKETCH)[:, None], np.minimum(size, SKETCH)[None]) / 2
     maybe = ratio_ok & (common >= floor) & (common > 0)
     if left is not None:
         maybe &= left[:, None] != left[None]
@@ -126,7 +142,7 @@ def links(sets: list[np.ndarray], left: np.ndarray | None = None, percent: int =
     top = np.minimum(limit[i], limit[j])
     within = lambda k: np.array([np.searchsorted(sketch[a], t, "right") for a, t in zip(k, top)])
     estimate = common[i, j] / np.maximum(within(i) + within(j) - common[i, j], 1) if len(i) else np.zeros(0)
-    keep = np.flatnonzero(estimate >= percent / 100 - SLACK)
+    keep = np.flatnonzero(estimate >= least_estimate(percent))
     found, forest = [], _Union(n)
     for k in keep[np.argsort(-estimate[keep], kind="stable")]:
         a, b = int(i[k]), int(j[k])
@@ -139,9 +155,9 @@ def links(sets: list[np.ndarray], left: np.ndarray | None = None, percent: int =
     return found
 
 
-def _blocks(lists: DataFrame) -> DataFrame:
+def _blocks(lists: DataFrame, percent: int) -> DataFrame:
     """(v, block, doc_id, side) rows: which members meet where."""
-    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(PERCENT / 100))).cast("int")
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100))).cast("int")
     short = lists.filter(F.col("m") <= BLOCK).select("v", F.lit("").alias("block"), "doc_id", F.lit(0).alias("side"))
     long = lists.filter(F.col("m") > BLOCK).withColumn("c", cls)
     sizes = long.groupBy("v", "c").agg(F.count("*").alias("mc"))
@@ -160,7 +176,7 @@ def _blocks(lists: DataFrame) -> DataFrame:
     return short.unionByName(long)
 
 
-def _candidates(twins: DataFrame) -> DataFrame:
+def _candidates(twins: DataFrame, percent: int) -> DataFrame:
     """(v, doc_id, n, m): lists of the documents that share at least two retained values."""
     docs = twins.select(F.col("rep").alias("doc_id"), "n", "probes")
     entries = docs.select(F.explode("probes").alias("v"), "doc_id", "n", "probes")
@@ -168,7 +184,7 @@ def _candidates(twins: DataFrame) -> DataFrame:
     entries = stored(entries.join(sizes, "v"), "entries")
     short = entries.filter(F.col("m") <= SHORT).drop("m")
     side = lambda s: short.select("v", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "probes")])
-    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("probes_a", "probes_b")) >= F.least(F.lit(2), "n_a", "n_b"))
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("probes_a", "probes_b")) >= F.least(F.lit(2), "n_a", "n_b"))
     pairs = side("a").join(side("b"), "v").filter(F.col("doc_id_a") < F.col("doc_id_b")).filter(alike)
     pairs = pairs.groupBy("doc_id_a", "doc_id_b", "n_a", "n_b").agg(F.min("v").alias("v"))
     ends = pairs.select("v", F.explode(F.array(F.struct(F.col("doc_id_a").alias("doc_id"), F.col("n_a").alias("n")), F.struct(F.col("doc_id_b").alias("doc_id"), F.col("n_b").alias("n")))).alias("x"))
@@ -193,7 +209,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted, "doc_id", "left_semi")
 
 
-def _confirmed(members: DataFrame) -> DataFrame:
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) within every (v, block); many small blocks share a task and a Python call."""
 
     def flush(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -201,7 +217,7 @@ def _confirmed(members: DataFrame) -> DataFrame:
             return []
         sides = np.array([r[1] for r in rows])
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        return [(rows[i][0], rows[j][0]) for i, j in links(sets, sides if sides.any() else None)]
+        return [(rows[i][0], rows[j][0]) for i, j in links(sets, sides if sides.any() else None, percent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -239,16 +255,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.withColumnRenamed("label", "component")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id long, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(profiles(docs), "profiles")
+    profile = stored(profiles(docs, percent), "profiles")
     filled = profile.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     twins = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("probes").alias("probes"))
     twins = stored(twins, "twins")
-    members = stored(_blocks(_candidates(twins)), "members")
+    members = stored(_blocks(_candidates(twins, percent), percent), "members")
     sets = _full_sets(docs, members.select("doc_id").distinct())
-    found = _confirmed(members.join(sets, "doc_id"))
+    found = _confirmed(members.join(sets, "doc_id"), percent)
     # Rows of one doc_id with different texts are one node, and so are equal sets.
     same = filled.join(twins.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep")
     near = components(found)

@@ -44,7 +44,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+    return near_dedup.classes(_table(spark, sf_dir, "documents"), 85)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
