@@ -15,7 +15,8 @@ from a similarity of ``percent`` on, which the caller chooses (op9 ``PERCENT``,
    union-sketch estimate drops pairs more than ``SLACK`` standard deviations below the threshold, and the rest are
    confirmed on the full sets.  Pairs already connected through confirmed links are skipped, so a
    block returns at most one link a member.
-5. Components by alternating neighbour minimum and pointer jumping on tables in the shared folder.
+5. Components by hooking every node to its smallest neighbour, pointer jumping and shrinking what is
+   connected to one node, on tables in the shared folder, until no link is left.
 
 Edge cases: a text of fewer than five words is one shingle of them all; null texts and texts without
 words have the empty set and are linked with nothing; rows that share a doc_id are one node; a null
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, possible, signed, slices, stored
+from .common import Words, discard, grams, possible, signed, slices, stored
 
 K = 5
 MISS = 4e-7
@@ -238,21 +239,50 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(doc_id, component) for every node of the undirected edges (a, b): the smallest node reachable."""
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "doc_id"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("far"))
-        new = stored(lower.join(jump, "label").select("doc_id", "old", F.least("label", "far").alias("label")), "labels")
-        labels = new.select("doc_id", "label")
-        if new.filter("old <> label").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return labels.withColumnRenamed("label", "component")
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every end of the symmetric edges (a, b), all nodes of a root connected.
+
+    Every node hooks to its smallest neighbour.  Of the nodes on a cycle of such hooks each has the
+    next but one no larger than itself, so cycles are pairs, and the smaller of a pair becomes a root;
+    pointer jumping, which halves the distances, brings the rest to it.  A root has two nodes at least.
+    """
+    hook = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), "hooks")
+    back = hook.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    root = F.when((F.col("next") == F.col("node")) & (F.col("node") < F.col("root")), F.col("node")).otherwise(F.col("root"))
+    up = stored(hook.join(back, "root").select("node", root.alias("root")), "hooks")
+    discard(hook)
+    while True:
+        far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        new = stored(up.join(far, "root").select("node", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")), "hooks")
+        discard(up)
+        if new.filter("moved").isEmpty():
+            return new
+        up = new
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(doc_id, component) for every node of the undirected edges (a, b): the smallest node reachable.
+
+    Each round shrinks the connected nodes of ``_roots`` to one, which at least halves the nodes that
+    still have a neighbour; it ends after log2 of the nodes of the largest component at most.
+    """
+    left = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
+    labels = None
+    while labels is None or not left.isEmpty():
+        roots = _roots(left)
+        own = roots.select("node", "root")
+        if labels is None:
+            new = own.withColumnRenamed("node", "doc_id")
+        else:
+            new = labels.join(own.withColumnRenamed("node", "label"), "label", "left").select("doc_id", F.coalesce("root", "label").alias("root"))
+        new = stored(new.select("doc_id", F.col("root").alias("label")), "labels")
+        ends = left.join(own.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        fewer = stored(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        for table in (left, roots, *([] if labels is None else [labels])):
+            discard(table)
+        left, labels = fewer, new
+    least = labels.groupBy("label").agg(F.min("doc_id").alias("component"))
+    return labels.join(least, "label").select("doc_id", "component")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
