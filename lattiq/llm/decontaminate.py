@@ -8,8 +8,9 @@ lists of the other terms from rare to frequent.  A proximity query takes the sam
 Matches found through hashes are confirmed on the tokens' bytes.
 
 The benchmark is the stated query set: its windows are broadcast in blocks of at most
-``BLOCK_WINDOWS`` windows, so what a task holds is bounded whatever the benchmark's size; the
-documents are never shuffled.
+``BLOCK_WINDOWS`` windows, which every row passes one after the other, so each block's search is
+bounded whatever the benchmark's size; the documents are never shuffled, and every row comes back
+once whatever its doc_id.
 
 Edge cases: null or empty text has no words and is returned with zero counts; an item without words
 has no window; an item shorter than the window is one window of all its words; repeated items are
@@ -35,7 +36,8 @@ SHARD_BYTES = 2_000_000
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[0x00:0x30] = SEPARATORS[0x3A:0x41] = SEPARATORS[0x5B:0x61] = SEPARATORS[0x7B:0x80] = True
 
-_SCHEMA = "doc_id long, n_words long, hits array<struct<lo:int,hi:int>>, items array<string>"
+_HITS = "array<struct<lo:int,hi:int>>"
+_SCHEMA = f"doc_id long, text string, n_words long, hits {_HITS}, items array<string>"
 
 
 def windows_of(texts: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple[str, list[bytes]]]:
@@ -146,31 +148,34 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     queries = windows_of([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator()], window)
-    out = None
+    found = rows.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<string>").alias("items"))
     for lo in range(0, max(1, len(queries)), BLOCK_WINDOWS):
         shipped = spark.sparkContext.broadcast(Phrases.build(queries[lo : lo + BLOCK_WINDOWS], window))
 
-        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+        last = lo + BLOCK_WINDOWS >= len(queries)
+
+        def search(batches: Iterator[pa.RecordBatch], shipped=shipped, last=last) -> Iterator[pa.RecordBatch]:
             q = shipped.value
             for batch in batches:
                 for s in slices(batch, limit=SHARD_BYTES):
                     w = Words(s, SEPARATORS, fold=True)
                     hits, items = _search(w, s.n, q)
+                    before = [{(x["lo"], x["hi"]) for x in r} for r in s.column("hits")]
+                    hits = [sorted(old.union(new)) for old, new in zip(before, hits)]
+                    items = [sorted(new.union(old)) for old, new in zip(s.column("items"), items)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             s.rows.column("doc_id"),
+                            pa.nulls(s.n, pa.string()) if last else s.rows.column("text"),
                             pa.array(w.count, pa.int64()),
-                            pa.array([[{"lo": a, "hi": b} for a, b in sorted(h)] for h in hits], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
-                            pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                            pa.array([[{"lo": a, "hi": b} for a, b in h] for h in hits], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))),
+                            pa.array(items, pa.list_(pa.string())),
                         ],
-                        ["doc_id", "n_words", "hits", "items"],
+                        ["doc_id", "text", "n_words", "hits", "items"],
                     )
 
-        part = rows.mapInArrow(search, _SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    if len(queries) > BLOCK_WINDOWS:
-        out = out.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+        found = found.mapInArrow(search, _SCHEMA)
+    return found.drop("text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
