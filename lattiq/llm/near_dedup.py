@@ -42,6 +42,7 @@ SKETCH = 128
 SLACK = 5.07
 BLOCK = 512
 PERCENT = 85
+SLICE = 500_000
 
 
 def probes_of(percent: int) -> int:
@@ -81,7 +82,7 @@ def profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=SLICE):
                 sets = shingle_sets(s)
                 xor = np.array([np.bitwise_xor.reduce(x) if len(x) else 0 for x in sets], np.uint64)
                 total = np.array([x.sum(dtype=np.uint64) if len(x) else 0 for x in sets], np.uint64)
@@ -203,7 +204,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([s.rows.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(s)], pa.binary())], ["doc_id", "shingles"])
 
     sets = possible(docs.select("doc_id", "text"), wanted).mapInArrow(run, "doc_id long, shingles binary")
