@@ -1,6 +1,6 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds the words (sorted 64-bit hashes) with their counts; level n holds, for every kept
+Level 1 holds the words (sorted 64-bit hashes) with their counts; level n holds, for every
 n-gram, its last word below the node of its first n-1 words.  A level is cut into shards of at most
 about ``SHARD_ROWS`` nodes by ranges of (context, word), so a hot context spreads over shards; a shard
 is one flat file of Elias-Fano sequences (contexts, monotone pointers to their children, children
@@ -9,10 +9,9 @@ shared folder and memory-mapped by the scoring tasks; an n-gram is found by succ
 the range of its context.
 
 Smoothing is interpolated absolute discounting: p(w|c) = d(c,w) + b(c) p(w|shorter c), with
-d = (count - DISCOUNT) / count(c) for kept n-grams (count at least ``MIN_COUNT``), b(c) the mass left
-over, and add-one unigrams with one unseen type.  d and b are rounded down to 256 levels, so
-probabilities never sum to more than 1.  An n-gram is counted only if its context and its suffix are
-kept (no other can be kept), which bounds the counting shuffles.
+d = (count - D) / count(c) for every n-gram seen, D = n1 / (n1 + 2 n2) of the level's n-grams seen once
+and twice (``DISCOUNT`` where one of them is 0), b(c) the mass left over, and add-one unigrams with one unseen type.  d and b are rounded down to 256 levels, so
+probabilities never sum to more than 1.
 
 Every document ends in one end token, which is also the context of its first word.  Edge cases: null
 and empty texts are one end token; with no training document every count is 0 and p = 1/(N+V+1) = 1;
@@ -35,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import U64, Slice, Words, bucket_of, schema_with, shared_dir, signed, slices, stored
 
 ORDER = 3
-MIN_COUNT = 2
 DISCOUNT = 0.6
 SHARD_ROWS = 1_000_000
 SLICE = 1_200_000
@@ -396,8 +394,7 @@ def _grams(training: DataFrame, model: Model, n: int) -> DataFrame:
                     yield _emit(*tally.take(), m.types)
         yield _emit(*tally.take(), m.types)
 
-    counted = training.select("text").mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") >= MIN_COUNT)
+    return training.select("text").mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
 
 def _build(table: DataFrame, model: Model | None, uri: str, name: str) -> Level:
@@ -407,6 +404,8 @@ def _build(table: DataFrame, model: Model | None, uri: str, name: str) -> Level:
     order = ["h"] if words else ["context", "word"]
     if words:
         table = table.withColumn("h", F.col("h").bitwiseXOR(F.lit(-(1 << 63))))  # unsigned order
+    once, twice = table.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    discount = once / (once + 2 * twice) if once and twice else DISCOUNT
     shipped = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +427,7 @@ def _build(table: DataFrame, model: Model | None, uri: str, name: str) -> Level:
             begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
             own = context[begin]
             total = m.levels[-1].counts(own)
-            d = (count - DISCOUNT) / np.repeat(total, np.diff(np.append(begin, len(context))))
+            d = (count - discount) / np.repeat(total, np.diff(np.append(begin, len(context))))
             sums = np.minimum(np.add.reduceat(d, begin), 1.0)
             arrays["code"], arrays["book"] = quantised(d)
             arrays["mass"] = sums.astype(np.float32)
