@@ -180,11 +180,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table made by ``stored`` once everything derived from it is stored itself."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(table.sparkSession, table._stored_at)
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:

@@ -35,17 +35,17 @@ def brute_scores(rows, held):
         if not held(i):
             uni.update(w)
             two.update(zip([None, *w], w))
-    kept2 = {k: n for k, n in two.items() if n >= 2}
     for i, w in texts:
         if not held(i):
-            three.update(t for t in zip([None, *w], w, w[1:]) if t[:2] in kept2 and t[1:] in kept2)
-    kept3 = {k: n for k, n in three.items() if n >= 2}
+            three.update(zip([None, *w], w, w[1:]))
+    seen = [sum(n == k for n in c.values()) for c in (two, three) for k in (1, 2)]
+    d2, d3 = (a / (a + 2 * b) if a and b else 0.6 for a, b in (seen[:2], seen[2:]))
     total, types = sum(uni.values()), len(uni)
     mass2, mass3 = collections.Counter(), collections.Counter()
-    for (a, _), n in kept2.items():
-        mass2[a] += (n - 0.6) / uni[a]
-    for (a, b, _), n in kept3.items():
-        mass3[(a, b)] += (n - 0.6) / two[(a, b)]
+    for (a, _), n in two.items():
+        mass2[a] += (n - d2) / uni[a]
+    for (a, b, _), n in three.items():
+        mass3[(a, b)] += (n - d3) / two[(a, b)]
     out = []
     for i, w in texts:
         base = score = 0.0
@@ -53,16 +53,20 @@ def brute_scores(rows, held):
             p = (uni[x] + 1) / (total + types + 1)
             base += math.log10(p)
             c = w[j - 1] if j else None
-            p = ((kept2[(c, x)] - 0.6) / uni[c] if (c, x) in kept2 else 0) + (1 - mass2[c]) * p
+            p = ((two[(c, x)] - d2) / uni[c] if (c, x) in two else 0) + (1 - mass2[c]) * p
             c2 = (w[j - 2] if j >= 2 else None, w[j - 1]) if j else None
-            if c2 in kept2:
-                p = ((kept3[(*c2, x)] - 0.6) / two[c2] if (*c2, x) in kept3 else 0) + (1 - mass3[c2]) * p
+            if c2 in two:
+                p = ((three[(*c2, x)] - d3) / two[c2] if (*c2, x) in three else 0) + (1 - mass3[c2]) * p
             score += math.log10(p)
         out.append((i, held(i), len(w), sum(uni[x] > 0 for x in w), total, base, score))
     return out
 
 
-def test_lm_scores(docs, rows):
+@pytest.mark.parametrize("shard, hot", [(4_000_000, 500_000), (300, 40)])
+def test_lm_scores(docs, rows, monkeypatch, shard, hot):
+    monkeypatch.setattr(ngram_trie, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(ngram_trie, "SHARD_ROWS", shard)
+    monkeypatch.setattr(ngram_trie, "HOT", hot)
     got = sorted(tuple(r) for r in ngram_trie.report(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect())
     want = sorted(brute_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 7 == 2))
     assert len(got) == len(want)
