@@ -8,10 +8,10 @@ anchor, and only about 2 in ``length - k + 2`` positions are anchors.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, sliding_min
+from .common import U64, Slice, signed, sliding_min
 
 _PLACE = U64((1 << 28) - 1)
 
@@ -46,18 +46,37 @@ class Anchors:
         self.row = np.searchsorted(first, self.start, "right") - 1
 
 
-def recurring(entries: DataFrame, across: bool) -> DataFrame:
-    """Distinct h of (h, doc_id) entries that occur in two documents (``across``), or twice at all."""
-    agg = entries.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
-    return agg.filter("lo < hi" if across else "n > 1").select("h")
+def wanted_anchors(s: Slice, a: Anchors) -> np.ndarray:
+    """Numbers of the anchors of a slice that are in their row's list ``hs``."""
+    lists = s.rows.column("hs")
+    value, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(s.n), size)
+    order = np.lexsort((value, row))
+    value, first = value[order], np.concatenate([[0], np.cumsum(size)])
+    own, h = np.zeros(len(a.h), bool), signed(a.h)
+    cut = np.searchsorted(a.row, np.arange(s.n + 1))
+    for i in np.flatnonzero((np.diff(cut) > 0) & (size > 0)):
+        list_, mine = value[first[i] : first[i + 1]], h[cut[i] : cut[i + 1]]
+        own[cut[i] : cut[i + 1]] = list_[np.minimum(np.searchsorted(list_, mine), len(list_) - 1)] == mine
+    return np.flatnonzero(own)
 
 
-def merged(spans: Column) -> Column:
-    """Union of array<struct<lo, hi>> half-open ranges, as sorted disjoint maximal ranges."""
+def recurring(entries: DataFrame, across: bool) -> DataFrame:
+    """Distinct h of (h, rid) entries that occur in two rows (``across``), or twice at all."""
+    if across:
+        return entries.groupBy("h").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("h")
+    return entries.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], x["hi"]).alias("hi"))))
-        return F.when((F.size(acc) > 0) & (x["lo"] <= F.get(acc, F.size(acc) - 1)["hi"]), joined).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), step)
+def runs(row: np.ndarray, x: np.ndarray, y: np.ndarray, start: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Evenly spaced repetitions as one: (first, number, step) of runs of entries that agree in row, x
+    and y and start ``step`` (at most ``longest``) symbols apart, as periodic texts have them."""
+    n = len(start)
+    step = np.diff(start, prepend=start[:1])
+    same = np.zeros(n, bool)
+    same[1:] = (row[1:] == row[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (step[1:] <= longest)
+    uneven = np.zeros(n, bool)
+    uneven[1:] = same[1:] & same[:-1] & (step[1:] != step[:-1])
+    head = np.flatnonzero(~same | uneven)
+    number = np.diff(np.append(head, n))
+    return head, number, np.where(number > 1, step[np.minimum(head + 1, max(n - 1, 0))], 0)

@@ -24,8 +24,8 @@ MASK64 = (1 << 64) - 1
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
+_SYMBOL = (_BYTE, _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1))
+_BASES = tuple((b, pow(b, -1, 1 << 64)) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 _pow: dict[int, np.ndarray] = {}
 
 WHITE = np.zeros(256, bool)
@@ -123,14 +123,32 @@ class Words:
         return span_hash(data, self.start, self.end)
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial prefix sum, shifted back to the span's start."""
-    n = len(data)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, variant: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: a polynomial prefix sum, shifted back to the span's start.  The
+    two variants are independent of each other."""
+    prefix, back = _prefix(_SYMBOL[variant][data], variant)
+    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def _prefix(symbols: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
+    n, (base, inverse) = len(symbols), _BASES[variant]
     prefix = np.zeros(n + 1, np.uint64)
     if n:
-        np.cumsum(_BYTE[data] * powers(_BASE, n), out=prefix[1:], dtype=np.uint64)
-    back = powers(_INV, n + 1)
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+        np.cumsum(symbols * powers(base, n), out=prefix[1:], dtype=np.uint64)
+    return prefix, powers(inverse, n + 1)
+
+
+def rolling(symbols: np.ndarray, k: int, variant: int = 0) -> np.ndarray:
+    """Hash of each run of k consecutive 64-bit symbols, for positions 0 .. len(symbols)-k."""
+    n = len(symbols) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    prefix, back = _prefix(symbols, variant)
+    return mix((prefix[k:] - prefix[:-k]) * back[:n])
+
+
+def byte_symbols(data: np.ndarray, variant: int = 0) -> np.ndarray:
+    return _SYMBOL[variant][data]
 
 
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -160,9 +178,11 @@ def sha(parts: bytes) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; where none is configured (tests), a temporary one."""
+    """The folder every executor can reach; without one, only a local session can go on."""
     set_ = spark.conf.get("spark.checkpoint.dir", "")
     if not set_:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         set_ = "file://" + tempfile.mkdtemp(prefix="lattiq-")
@@ -170,11 +190,29 @@ def shared_dir(spark: SparkSession) -> str:
     return set_
 
 
+BATCH_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches, and so the memory of both their ends, within BATCH_BYTES (or one row)."""
+    if not 0 < int(spark.conf.get(_ARROW, "67108864").rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_ARROW, str(BATCH_BYTES))
+    return spark
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a table into the shared folder and read it back."""
+    """Cut lineage: write a table into the shared folder and read it back.  The shuffle files of the
+    write are dropped at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -185,9 +223,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table made by ``stored`` once everything derived from it is stored itself."""
-    remove(table.sparkSession, table._stored_at)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` once everything derived from them is stored itself."""
+    for table in tables:
+        remove(table.sparkSession, table._stored_at)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, text: rows that share a doc_id but not the text have different rids."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:
@@ -225,8 +270,8 @@ def labelled_texts(docs: DataFrame, marks: DataFrame, per_class: int) -> tuple[D
 FILTER_BITS = 1 << 26
 
 
-def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id may be in ids: all that are, and few others, without moving texts.
+def possible(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of docs whose ``key`` may be in ids: all that are, and few others, without moving texts.
 
     A Bloom filter of ids (about 16 bits each, at most FILTER_BITS in all, so what is broadcast is
     bounded) is or-ed together on the executors and applied where the documents are read.  More ids
@@ -235,14 +280,14 @@ def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = ids.count()
     bits = min(FILTER_BITS, 1 << max(12, (16 * n).bit_length()))
-    place = F.explode(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(bits)))).alias("p")
+    place = F.explode(F.transform(F.array(*[F.lit(k) for k in range(4)]), lambda k: F.pmod(F.xxhash64(key, k), F.lit(bits)))).alias("p")
     words = ids.select(place).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b"))
     table = np.zeros(bits // 32, np.uint32)
     got = words.toPandas() if n else None
     if got is not None:
         table[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
     shipped = spark.sparkContext.broadcast(table)
-    keyed = docs.select("*", F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(bits)) for k in range(4)]).alias("_places"))
+    keyed = docs.select("*", F.array(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(4)]).alias("_places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shipped.value

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, fingerprint, langid, near_dedup, ngram_trie, quality, sentencepiece_fst, substring_dedup, suffix_dedup, toxicity
+from .common import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,13 @@ doc_id, or earlier in the same one) is removed.
    compared by a partially aggregated group-by on 128-bit digests instead, which is exact too.
 5. Marks are united per document.
 
+Occurrences of segments are kept as 128-bit hashes; bytes move only for segments whose anchor has two
+or more of them, since the windows of one segment hold its anchor at different offsets and so differ.
+Equal segments at equal steps, as periodic texts have them, are one entry.
+
 Edge cases: null texts are empty; texts shorter than a window lose nothing; rows of one doc_id count
-as equal in order, so of identical such rows none is removed whole; rows without a doc_id lose
-nothing.
+as equal in order and need not have the same text: of such rows none is removed whole for another,
+and identical ones get the same result; rows without a doc_id lose nothing.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Anchors, recurring
-from .common import _BYTE, U64, Slice, discard, grams, mix, possible, signed, slices, stored
+from .anchors import Anchors, recurring, runs, wanted_anchors
+from .common import Slice, byte_symbols, discard, keyed, possible, rolling, signed, slices, span_hash, stored
 
 WINDOW, GRAM = 100, 24
 HOT = 1024
@@ -123,87 +127,99 @@ class RunLengthIndex:
         return (np.concatenate(texts), np.concatenate(offsets)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _symbols(s: Slice) -> np.ndarray:
-    return mix(_BYTE[s.data])
-
-
 def _anchors(s: Slice) -> Anchors:
-    return Anchors(grams(_symbols(s), GRAM, 5), s.off, WINDOW, GRAM)
+    return Anchors(rolling(byte_symbols(s.data), GRAM), s.off, WINDOW, GRAM)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, sha-256 of the bytes, and the anchors (one entry an occurrence)."""
+    """rid, doc_id, n_bytes, sha-256 of the bytes, and the anchors (twice if met more than once)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch):
                 a = _anchors(s)
-                cut = np.searchsorted(a.row, np.arange(s.n + 1))
+                order = np.lexsort((a.h, a.row))
+                h, row = a.h[order], a.row[order]
+                keep = np.ones(len(h), bool)
+                keep[2:] = (h[2:] != h[:-2]) | (row[2:] != row[:-2])
+                h, row = h[keep], row[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        s.rows.column("doc_id"),
+                        *[s.rows.column(c) for c in ("rid", "doc_id")],
                         pa.array(np.diff(s.off), pa.int64()),
                         pa.array([hashlib.sha256(s.text(i)).digest() for i in range(s.n)], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(signed(a.h))),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(s.n + 1)).astype(np.int32)), pa.array(signed(h))),
                     ],
-                    ["doc_id", "n_bytes", "digest", "anchors"],
+                    ["rid", "doc_id", "n_bytes", "digest", "anchors"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, digest binary, anchors array<long>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_bytes long, digest binary, anchors array<long>")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
+    """The segments of the wanted anchors: where they start, and 128 bits of hash in place of the bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch):
                 a = _anchors(s)
-                ids, wanted = np.array(s.column("doc_id"), np.int64), s.column("hs")
-                keep = np.zeros(len(a.h), bool)
-                cut = np.searchsorted(a.row, np.arange(s.n + 1))
-                for i in range(s.n):
-                    x, y = cut[i], cut[i + 1]
-                    if y > x:
-                        keep[x:y] = np.isin(signed(a.h[x:y]), np.array(wanted[i], np.int64))
-                at = np.flatnonzero(keep)
-                lo, hi = a.start[at], a.start[at] + a.windows[at] - 1 + WINDOW
-                texts = [s.data[x:y].tobytes() for x, y in zip(lo, hi)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a.row[at]]), pa.array(lo - s.off[a.row[at]], pa.int64()), pa.array((hi - lo).astype(np.int32)), pa.array(signed(a.h[at])), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())],
-                    ["doc_id", "start", "size", "h", "segment", "bytes"],
-                )
+                at = wanted_anchors(s, a)
+                lo, hi, row = a.start[at], a.start[at] + a.windows[at] - 1 + WINDOW, a.row[at]
+                x, y = (span_hash(s.data, lo, hi, v) for v in range(2))
+                head, reps, step = runs(row, x, y, lo, WINDOW)
+                row = row[head]
+                cols = [lo[head] - s.off[row], (hi - lo)[head].astype(np.int32), reps.astype(np.int32), step.astype(np.int32), signed(a.h[at][head]), signed(x[head]), signed(y[head])]
+                yield pa.RecordBatch.from_arrays([*[s.rows.column(c).take(pa.array(row)) for c in ("rid", "doc_id")], *[pa.array(c) for c in cols]], ["rid", "doc_id", "start", "size", "reps", "step", "h", "x", "y"])
 
-    return docs.select("doc_id", "text", "hs").mapInArrow(run, "doc_id long, start long, size int, h long, segment binary, bytes binary")
+    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(run, "rid long, doc_id long, start long, size int, reps int, step int, h long, x long, y long")
 
 
-_MARKS = "segment binary, offs array<int>"
+def _with_bytes(rows: DataFrame) -> DataFrame:
+    """(h, n, x, y, doc_id, start, bytes) of the segments listed beside each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slices(batch, limit=500_000):
+                lists = s.rows.column("segments")
+                row = np.repeat(np.arange(s.n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                part = lists.flatten()
+                start, size = (part.field(c).to_numpy(zero_copy_only=False) for c in ("start", "size"))
+                lo = s.off[row] + start
+                data = [s.data[x:y].tobytes() for x, y in zip(lo, lo + size)]
+                yield pa.RecordBatch.from_arrays([*[part.field(c) for c in ("h", "n", "x", "y", "doc_id", "start")], pa.array(data, pa.binary())], ["h", "n", "x", "y", "doc_id", "start", "bytes"])
+
+    return rows.mapInArrow(run, "h long, n long, x long, y long, doc_id long, start long, bytes binary")
+
+
+_MARKS = "x long, y long, offs array<int>"
 
 
 def _indexed(segments: DataFrame) -> DataFrame:
-    """Marks of the segments of cold anchors: (segment, offsets of windows that start earlier too)."""
+    """Marks of the segments of cold anchors: (x, y, offsets of windows that start earlier too)."""
 
-    def flush(ids: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+    def flush(ids: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
         text, off = RunLengthIndex(texts).repeated()
         order = np.lexsort((off, text))
         text, off = text[order], off[order]
         own, begin = np.unique(text, return_index=True)
         lists = np.split(off.astype(np.int32), begin[1:]) if len(own) else []
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in own], pa.binary()), pa.array(lists, pa.list_(pa.int32()))], ["segment", "offs"])
+        return pa.RecordBatch.from_arrays([*[pa.array([ids[i][k] for i in own], pa.int64()) for k in range(2)], pa.array(lists, pa.list_(pa.int32()))], ["x", "y", "offs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held, last = [], [], 0, None
         for batch in batches:
-            for h, segment, data in zip(*[batch.column(c).to_pylist() for c in ("h", "segment", "bytes")]):
+            for h, x, y, data in zip(*[batch.column(c).to_pylist() for c in ("h", "x", "y", "bytes")]):
                 if h != last and held > CHUNK:
                     yield flush(ids, texts)
                     ids, texts, held = [], [], 0
                 last = h
-                ids.append(segment)
+                ids.append((x, y))
                 texts.append(data)
                 held += len(data)
         if texts:
             yield flush(ids, texts)
 
-    return segments.repartition("h").sortWithinPartitions("h", "at").select("h", "segment", "bytes").mapInArrow(run, _MARKS)
+    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "x", "y", "bytes").mapInArrow(run, _MARKS)
 
 
 def _compared(segments: DataFrame) -> DataFrame:
@@ -219,66 +235,75 @@ def _compared(segments: DataFrame) -> DataFrame:
                 count = np.diff(off) - WINDOW + 1
                 row = np.repeat(np.arange(len(data)), count)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                sym = mix(_BYTE[raw])
                 at = off[row] + place
                 ids, start = part.column("doc_id").to_numpy()[row], part.column("start").to_numpy()[row] + place
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams(sym, WINDOW, 6)[at])), pa.array(signed(grams(sym, WINDOW, 7)[at])), pa.array(ids), pa.array(start), part.column("segment").take(pa.array(row)), pa.array(place.astype(np.int32))], ["x", "y", "doc_id", "pos", "segment", "off"])
+                windows = [pa.array(signed(rolling(byte_symbols(raw, v), WINDOW, v)[at])) for v in range(2)]
+                yield pa.RecordBatch.from_arrays([*windows, pa.array(ids), pa.array(start), *[part.column(c).take(pa.array(row)) for c in ("x", "y")], pa.array(place.astype(np.int32))], ["u", "w", "doc_id", "pos", "x", "y", "off"])
 
-    rows = segments.select("bytes", "at.doc_id", "at.start", "segment").mapInArrow(run, "x long, y long, doc_id long, pos long, segment binary, off int")
-    first = rows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = rows.join(first, ["x", "y"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return late.groupBy("segment").agg(F.collect_list("off").alias("offs"))
+    rows = segments.select("bytes", "doc_id", "start", "x", "y").mapInArrow(run, "u long, w long, doc_id long, pos long, x long, y long, off int")
+    first = rows.groupBy("u", "w").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    late = rows.join(first, ["u", "w"]).filter(F.struct("doc_id", "pos") > F.col("first"))
+    return late.groupBy("x", "y").agg(F.collect_list("off").alias("offs"))
 
 
 def _cut(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, runs, shas = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                gone = np.zeros(len(data) + 1, np.int64)
-                if spans:
-                    np.add.at(gone, [x["lo"] for x in spans], 1)
-                    np.add.at(gone, [x["hi"] for x in spans], -1)
+            for s in slices(batch):
+                lists = s.rows.column("spans")
+                at = np.repeat(s.off[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+                part = lists.flatten()
+                gone = np.zeros(len(s.data) + 1, np.int64)
+                np.add.at(gone, at + part.field("lo").to_numpy(zero_copy_only=False), 1)
+                np.add.at(gone, at + part.field("hi").to_numpy(zero_copy_only=False), -1)
                 out = np.cumsum(gone)[:-1] > 0
-                removed.append(int(out.sum()))
-                runs.append(int((np.diff(np.concatenate([[0], out.astype(np.int8)])) == 1).sum()))
-                shas.append(hashlib.sha256(data[~out].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas)], ["doc_id", "n_removed", "n_spans", "sha"])
+                begins = out.copy()  # of a removed run: the byte before is kept, or in another text
+                begins[1:] &= ~out[:-1]
+                heads = s.off[:-1][np.diff(s.off) > 0]
+                begins[heads] = out[heads]
+                cut = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[s.off])
+                shas = [hashlib.sha256(s.data[a:b][~out[a:b]].tobytes()).hexdigest() for a, b in zip(s.off, s.off[1:])]
+                yield pa.RecordBatch.from_arrays([s.rows.column("rid"), pa.array(cut(out), pa.int64()), pa.array(cut(begins), pa.int64()), pa.array(shas)], ["rid", "n_removed", "n_spans", "sha"])
 
-    return rows.mapInArrow(run, "doc_id long, n_removed long, n_spans long, sha string")
+    return rows.mapInArrow(run, "rid long, n_removed long, n_spans long, sha string")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = keyed(docs)
     profile = stored(profiles(docs), "profiles")
-    first = profile.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = profile.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     whole = F.coalesce((F.col("n_bytes") >= WINDOW) & (F.col("first") < F.col("doc_id")), F.lit(False))
-    marked = stored(profile.join(first, "digest", "left").withColumn("whole", whole).drop("first"), "marked")
-    discard(profile)
-    everything = stored(marked.drop("anchors"), "everything")
-    entries = marked.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
-    wanted = entries.join(recurring(entries, across=False), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    everything = stored(profile.drop("anchors").join(first, "digest", "left").withColumn("whole", whole).drop("first"), "everything")
+    gone = everything.filter("whole").select("rid").distinct()
+    entries = profile.filter(F.col("doc_id").isNotNull()).select("rid", "anchors").join(gone, "rid", "left_anti").select("rid", F.explode("anchors").alias("h"))
+    wanted = entries.join(recurring(entries, across=False), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
     wanted = stored(wanted, "wanted")
-    discard(marked)
-    subject = stored(possible(docs, wanted.select("doc_id")).join(wanted, "doc_id"), "subjects")
+    discard(profile)
+    subject = stored(possible(docs, wanted.select("rid"), "rid").join(wanted, "rid").dropDuplicates(["rid"]), "subjects")
+    discard(wanted)
     segments = stored(_segments(subject), "segments")
-    distinct = segments.groupBy("segment").agg(F.first("h").alias("h"), F.min(F.struct("doc_id", "start")).alias("at"), F.first("bytes").alias("bytes"))
+    distinct = segments.groupBy("x", "y").agg(F.first("h").alias("h"), F.sum("reps").alias("times"), F.min(F.struct("doc_id", "start", "rid", "size")).alias("at"))
     distinct = stored(distinct, "distinct")
-    hot = distinct.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("h")
-    marks = _indexed(distinct.join(hot, "h", "left_anti")).unionByName(_compared(distinct.join(hot, "h", "left_semi")))
-    origin = distinct.select("segment", "at").join(marks, "segment", "left")
-    placed = segments.select("doc_id", "start", "size", "segment").join(origin, "segment")
+    variants = distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = distinct.join(variants, "h").groupBy("at.rid").agg(F.collect_list(F.struct("h", "n", "x", "y", "at.doc_id", "at.start", "at.size")).alias("segments"))
+    texts = subject.select("rid", "text")
+    bytes_ = stored(_with_bytes(texts.join(listed, "rid")), "bytes")
+    marks = _indexed(bytes_.filter(F.col("n") <= HOT)).unionByName(_compared(bytes_.filter(F.col("n") > HOT)))
+    marks = stored(marks, "marks")
+    discard(bytes_)
+    origin = distinct.select("x", "y", "times", "at").join(marks, ["x", "y"], "left").filter("times > 1 or offs is not null").drop("times")
+    placed = segments.select("rid", "doc_id", "start", "size", "reps", "step", "x", "y").join(origin, ["x", "y"])
     is_first = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("start") == F.col("at.start"))
-    own = F.transform(F.coalesce("offs", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).alias("lo"), (F.col("start") + o + WINDOW).alias("hi")))
-    all_ = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi")))
-    spans = placed.withColumn("spans", F.when(is_first, own).otherwise(all_)).filter(F.size("spans") > 0)
-    found = stored(spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "found")
-    discard(distinct)
-    discard(segments)
-    texts = possible(subject.select("doc_id", "text"), found.select("doc_id"))
-    cut = _cut(texts.join(found, "doc_id")).dropDuplicates(["doc_id"])
-    out = everything.join(cut, "doc_id", "left")
+    span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    end = F.col("start") + F.col("size") + (F.col("reps") - 1) * F.col("step")
+    own = F.transform(F.coalesce("offs", F.array().cast("array<int>")), lambda o: span(F.col("start") + o, F.col("start") + o + WINDOW))
+    again = F.filter(F.array(span(F.col("start") + F.col("step"), end)), lambda _: F.col("reps") > 1)
+    spans = placed.withColumn("spans", F.when(is_first, F.concat(own, again)).otherwise(F.array(span(F.col("start"), end)))).filter(F.size("spans") > 0)
+    found = stored(spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "found")
+    discard(distinct, segments, marks)
+    cut = stored(_cut(possible(texts, found.select("rid"), "rid").join(found, "rid")), "cut")
+    discard(subject, found)
+    out = everything.join(cut, "rid", "left")
     none = F.lit(0).cast("long")
     return out.select(
         "doc_id",

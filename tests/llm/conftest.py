@@ -34,7 +34,7 @@ def make_docs(seed=5, n=60):
         else:
             t = sentence(r, r.randint(20, 200), vocab)
         rows.append((i * 3 % 101, t))
-    rows += [(500, None), (501, ""), (502, " \n\t "), (503, sentence(r, 6000, vocab)), (504, "y" * 3000), (505, rows[5][1]), (505, rows[5][1])]
+    rows += [(500, None), (501, ""), (502, " \n\t "), (503, sentence(r, 6000, vocab)), (504, "y" * 3000), (506, "y" * 1500 + sentence(r, 40, vocab)), (505, rows[5][1]), (505, rows[5][1]), (505, rows[6][1] + " tail"), (505, passage + " " + base)]
     return [(i, t, ["en", "fr", None][i % 3], "s", len(t or ""), 0.5, ["clash"]) for i, t in rows]
 
 
