@@ -178,8 +178,8 @@ def _blocks(lists: DataFrame, percent: int) -> DataFrame:
     return short.unionByName(long)
 
 
-def _candidates(twins: DataFrame, percent: int) -> DataFrame:
-    """(v, doc_id, n, m): lists of the documents that share at least two retained values."""
+def _candidates(twins: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(v, doc_id, n, m): lists of the documents that share at least two retained values; the tables they are made of."""
     docs = twins.select(F.col("rep").alias("doc_id"), "n", "probes")
     entries = docs.select(F.explode("probes").alias("v"), "doc_id", "n", "probes")
     sizes = entries.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
@@ -195,8 +195,9 @@ def _candidates(twins: DataFrame, percent: int) -> DataFrame:
     twice = long.groupBy("v", "second").agg(F.count("*").alias("k")).filter((F.col("k") > 1) | F.col("second").isNull())
     kept = kept.unionByName(long.join(twice.drop("k"), (long["v"] == twice["v"]) & long["second"].eqNullSafe(twice["second"]), "left_semi").select("v", "doc_id", "n").distinct())
     kept = stored(kept, "kept")
+    discard(entries)
     lists = kept.groupBy("v").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("s2")).filter("m > 1")
-    return kept.join(lists.groupBy("m", "s1", "s2").agg(F.min("v").alias("v")).select("v", "m"), "v")
+    return kept.join(lists.groupBy("m", "s1", "s2").agg(F.min("v").alias("v")).select("v", "m"), "v"), [kept]
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -293,13 +294,18 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     filled = profile.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     twins = filled.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("probes").alias("probes"))
     twins = stored(twins, "twins")
-    members = stored(_blocks(_candidates(twins, percent), percent), "members")
-    sets = _full_sets(docs, members.select("doc_id").distinct())
-    found = _confirmed(members.join(sets, "doc_id"), percent)
     # Rows of one doc_id with different texts are one node, and so are equal sets.
-    same = filled.join(twins.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep")
-    near = components(found)
-    top = F.coalesce("component", "rep")
-    own = same.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(top).alias("component_id"))
-    out = profile.select("doc_id", "n_shingles").join(own, "doc_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    same = filled.join(twins.select("set_a", "set_b", F.col("n").alias("n_shingles"), "rep"), ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct()
+    same = stored(same, "same")
+    rows = stored(profile.select("doc_id", "n_shingles"), "rows")
+    discard(profile)
+    lists, used = _candidates(twins, percent)
+    members = stored(_blocks(lists, percent), "members")
+    discard(twins, *used)
+    found = stored(_confirmed(members.join(_full_sets(docs, members.select("doc_id").distinct()), "doc_id"), percent), "links")
+    discard(members)
+    ends = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).filter("a < top")
+    near = components(found.unionByName(same.join(ends, "doc_id").select("a", F.col("rep").alias("b"))))
+    own = same.join(near.withColumnRenamed("doc_id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    out = rows.join(own, "doc_id", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
