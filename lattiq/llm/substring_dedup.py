@@ -16,9 +16,12 @@ starts in a document with a smaller doc_id is removed.
    shards, each with the anchor's windows, so no shard grows with one anchor's copies.
 6. Hits whose first document is smaller than the segment's own are united per document.
 
+Equal segments at equal steps, as periodic texts have them, are one entry.
+
 Edge cases: null texts have no words and hash as the empty text; documents shorter than a window
-lose nothing; rows that share a doc_id count as one document for "smaller", and each row is
-reported; rows without a doc_id are never first and lose nothing.
+lose nothing; rows that share a doc_id count as one document for "smaller" and need not have the same
+text: each row is reported by its own, identical ones alike; rows without a doc_id are never first
+and lose nothing.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Anchors, recurring
-from .common import Words, grams, possible, signed, slices, stored
+from .anchors import Anchors, recurring, runs, wanted_anchors
+from .common import Words, discard, keyed, possible, rolling, signed, slices, stored
 
 WINDOW, GRAM = 50, 10
 SHARD_WINDOWS = 12_000
@@ -41,11 +44,11 @@ SALT_SEGMENTS = 64
 
 
 def _anchors(w: Words) -> Anchors:
-    return Anchors(grams(w.hash, GRAM, 2), w.first, WINDOW, GRAM)
+    return Anchors(rolling(w.hash, GRAM), w.first, WINDOW, GRAM)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, the hash of the words joined by one space, and the distinct anchors."""
+    """rid, doc_id, n_words, the hash of the words joined by one space, and the distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,48 +58,45 @@ def profiles(docs: DataFrame) -> DataFrame:
                 cut = np.searchsorted(a.row, np.arange(s.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        s.rows.column("doc_id"),
+                        *[s.rows.column(c) for c in ("rid", "doc_id")],
                         pa.array(w.count, pa.int64()),
                         pa.array([hashlib.sha256(b" ".join(s.text(i).split())).digest() for i in range(s.n)], pa.binary()),
                         pa.array([signed(np.unique(a.h[x:y])) for x, y in zip(cut, cut[1:])], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_words", "digest", "anchors"],
+                    ["rid", "doc_id", "n_words", "digest", "anchors"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, digest binary, anchors array<long>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_words long, digest binary, anchors array<long>")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, windows, h, segment, words) of the recurring anchors of (doc_id, text, hs)."""
+    """(rid, doc_id, start, reps, step, h, segment, words) of the recurring anchors of (rid, doc_id, text, hs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=1_000_000):
                 w = Words(s)
                 a = _anchors(w)
-                ids, wanted = s.column("doc_id"), s.column("hs")
-                keep = np.zeros(len(a.h), bool)
-                cut = np.searchsorted(a.row, np.arange(s.n + 1))
-                for i in range(s.n):
-                    x, y = cut[i], cut[i + 1]
-                    if y > x:
-                        keep[x:y] = np.isin(signed(a.h[x:y]), np.array(wanted[i], np.int64))
-                at = np.flatnonzero(keep)
-                first, last = a.start[at], a.start[at] + a.windows[at] - 1 + WINDOW
+                at = wanted_anchors(s, a)
+                first, last, row = a.start[at], a.start[at] + a.windows[at] - 1 + WINDOW, a.row[at]
+                before = np.concatenate([[0], np.cumsum(w.hash, dtype=np.uint64)])
+                head, reps, step = runs(row, a.h[at], before[last] - before[first], first, WINDOW)
+                first, last, row = first[head], last[head], row[head]
                 words = [b" ".join(s.data[w.start[x] : w.end[y - 1]].tobytes().split()) for x, y in zip(first, last)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[r] for r in a.row[at]], pa.int64()),
-                        pa.array(first - w.first[a.row[at]], pa.int64()),
-                        pa.array(a.windows[at], pa.int32()),
-                        pa.array(signed(a.h[at])),
+                        *[s.rows.column(c).take(pa.array(row)) for c in ("rid", "doc_id")],
+                        pa.array(first - w.first[row], pa.int64()),
+                        pa.array(reps, pa.int32()),
+                        pa.array(step, pa.int32()),
+                        pa.array(signed(a.h[at][head])),
                         pa.array([hashlib.md5(x).digest() for x in words], pa.binary()),
                         pa.array(words, pa.binary()),
                     ],
-                    ["doc_id", "start", "windows", "h", "segment", "words"],
+                    ["rid", "doc_id", "start", "reps", "step", "h", "segment", "words"],
                 )
 
-    return docs.select("doc_id", "text", "hs").mapInArrow(run, "doc_id long, start long, windows int, h long, segment binary, words binary")
+    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(run, "rid long, doc_id long, start long, reps int, step int, h long, segment binary, words binary")
 
 
 def _windows(segments: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _windows(segments: DataFrame) -> DataFrame:
                 off = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 at = w.first[row] + off
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams(w.hash, WINDOW, 3)[at])), pa.array(signed(grams(w.hash, WINDOW, 4)[at])), *[s.rows.column(c).take(pa.array(row)) for c in ("h", "segment", "lo", "hi")], pa.array(off.astype(np.int32))],
+                    [*[pa.array(signed(rolling(w.hash, WINDOW, v)[at])) for v in range(2)], *[s.rows.column(c).take(pa.array(row)) for c in ("h", "segment", "lo", "hi")], pa.array(off.astype(np.int32))],
                     ["x", "y", "h", "segment", "lo", "hi", "off"],
                 )
 
@@ -197,49 +197,57 @@ def _hits(segments: DataFrame) -> DataFrame:
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) -> what is left of each document."""
+    """(rid, text, spans) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = (text or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                for x in spans:
-                    gone[x["lo"]] += 1
-                    gone[x["hi"]] -= 1
-                left = [w for w, g in zip(words, np.cumsum(gone)) if g == 0]
-                out.append((len(words) - len(left), b" ".join(left)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary()).cast(pa.string())], ["doc_id", "n_removed", "kept"])
-
-    return rows.mapInArrow(run, "doc_id long, n_removed long, kept string")
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                out = []
+                for text, lows, highs in zip(*[part.column(c).to_pylist() for c in ("text", "lows", "highs")]):
+                    words = (text or "").encode().split()
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(gone, lows, 1)
+                    np.add.at(gone, highs, -1)
+                    left = [w for w, g in zip(words, np.cumsum(gone)) if g == 0]
+                    out.append((len(words) - len(left), b" ".join(left)))
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary()).cast(pa.string())], ["rid", "n_removed", "kept"])
+
+    rows = rows.select("rid", "text", F.col("spans.lo").alias("lows"), F.col("spans.hi").alias("highs"))
+    return rows.mapInArrow(run, "rid long, n_removed long, kept string")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all, cut) of docs (doc_id long, text): ``all`` has doc_id, n_words, digest and whole (the
-    document repeats an earlier one), ``cut`` has doc_id, n_removed and kept where words are removed."""
+    """(all, cut) of keyed docs (rid, doc_id, text): ``all`` has rid, doc_id, n_words, digest and whole (the
+    document repeats an earlier one), ``cut`` has rid, n_removed and kept where words are removed."""
     profile = stored(profiles(docs), "profiles")
-    first = profile.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = profile.join(first, "digest", "left")
+    first = profile.filter(F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     whole = F.coalesce((F.col("n_words") >= WINDOW) & (F.col("first") < F.col("doc_id")), F.lit(False))
-    everything = stored(marked.select("doc_id", "n_words", "digest", whole.alias("whole"), "anchors"), "marked")
-    entries = everything.filter(~F.col("whole") & F.col("doc_id").isNotNull()).select("doc_id", F.explode("anchors").alias("h"))
-    wanted = entries.join(recurring(entries, across=True), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    everything = stored(profile.drop("anchors").join(first, "digest", "left").withColumn("whole", whole).drop("first"), "everything")
+    gone = everything.filter("whole").select("rid").distinct()
+    entries = profile.filter(F.col("doc_id").isNotNull()).select("rid", "anchors").join(gone, "rid", "left_anti").select("rid", F.explode("anchors").alias("h"))
+    wanted = entries.join(recurring(entries, across=True), "h").groupBy("rid").agg(F.collect_set("h").alias("hs"))
     wanted = stored(wanted, "wanted")
-    subject = stored(possible(docs, wanted.select("doc_id")).join(wanted, "doc_id"), "subjects")
+    discard(profile)
+    subject = stored(possible(docs, wanted.select("rid"), "rid").join(wanted, "rid").dropDuplicates(["rid"]), "subjects")
+    discard(wanted)
     segments = stored(_segments(subject), "segments")
-    hits = _hits(segments)
-    placed = segments.select("doc_id", "start", "segment").join(hits, "segment")
-    spans = F.transform(F.filter(F.arrays_zip("offs", "firsts"), lambda x: x["firsts"] < F.col("doc_id")), lambda x: F.struct((F.col("start") + x["offs"]).alias("lo"), (F.col("start") + x["offs"] + WINDOW).alias("hi")))
-    found = placed.withColumn("spans", spans).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return everything.drop("anchors"), _cut(subject.select("doc_id", "text").join(found, "doc_id"))
+    hits = stored(_hits(segments), "hits")
+    placed = segments.select("rid", "doc_id", "start", "reps", "step", "segment").join(hits, "segment")
+    end = F.col("start") + (F.col("reps") - 1) * F.col("step") + WINDOW
+    spans = F.transform(F.filter(F.arrays_zip("offs", "firsts"), lambda x: x["firsts"] < F.col("doc_id")), lambda x: F.struct((F.col("start") + x["offs"]).alias("lo"), (end + x["offs"]).alias("hi")))
+    found = placed.withColumn("spans", spans).filter(F.size("spans") > 0).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = stored(found, "found")
+    discard(segments, hits)
+    cut = stored(_cut(possible(subject.select("rid", "text"), found.select("rid"), "rid").join(found, "rid")), "cut")
+    discard(subject, found)
+    return everything, cut
 
 
 def report(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    everything, cut = removals(docs)
-    cut = cut.select("doc_id", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha")).dropDuplicates(["doc_id"])
-    out = everything.join(cut, "doc_id", "left")
+    everything, cut = removals(keyed(docs))
+    cut = cut.select("rid", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("sha"))
+    out = everything.join(cut, "rid", "left")
     removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     sha = F.when(F.col("whole"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("digest"))))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), sha.alias("kept_sha256"))
