@@ -17,20 +17,19 @@ Rows with a null doc_id pass the filters on their own merits and are never anoth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattiq.llm import decontaminate, langid, near_dedup, sentencepiece_fst, substring_dedup
-from lattiq.llm.common import stored
+from lattiq.llm.common import bounded_batches, keyed, stored
 
 NEAR_PERCENT = 80
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of a sure language.  Null, empty and letterless texts go; rows of null lang stay on their
+    text's merits; columns of any name pass through."""
+    bounded_batches(spark)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = langid.fit(known)
     names = [f"c{i}" for i in range(len(docs.columns))]  # extra columns may be called like the verdicts
@@ -39,26 +38,41 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row of the smallest doc_id of each class.  Rows of one doc_id are one document: the one of
+    the least text (by hash) stays for them, nulls apart; rows without a doc_id all stay."""
+    bounded_batches(spark)
     kept = near_dedup.classes(docs, NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("__id")).filter("__id is not null").distinct()
+    rid = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), "__rid")
+    named = named.withColumn("__rid", rid).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__rid", "__n")
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    everything, cut = substring_dedup.removals(_narrow(docs))
-    gone = everything.filter("whole").select("doc_id").union(cut.filter(F.length("kept") == 0).select("doc_id")).filter("doc_id is not null").distinct()
-    changed = cut.filter(F.length("kept") > 0).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).dropDuplicates(["__id"])
-    left = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    left = left.join(changed, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    """Texts without the passages of earlier documents; n_chars follows the text.  Each row of a
+    repeated doc_id is cut by its own text; null and short texts stay as they are."""
+    bounded_batches(spark)
+    keys = keyed(docs)
+    everything, cut = substring_dedup.removals(keys)
+    gone = everything.filter("whole").select("rid").union(cut.filter(F.length("kept") == 0).select("rid")).distinct()
+    changed = cut.filter(F.length("kept") > 0).select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept"))
+    own = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    left = own.join(gone.withColumnRenamed("rid", "__rid"), F.col("__own") == F.col("__rid"), "left_anti")
+    left = left.join(changed, F.col("__own") == F.col("__rid"), "left")
     new = {"text": F.coalesce("__kept", "text"), "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast("long"))}
     return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark window; null and empty texts hold none."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, their number and the round trip of every row; null text has null ids."""
+    bounded_batches(spark)
     return sentencepiece_fst.report(docs)
 
 

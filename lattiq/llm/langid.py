@@ -30,6 +30,7 @@ from .common import LOWER, Slice, bounded_sample, bucket_of, schema_with, sigmoi
 PER_LANGUAGE = 400
 CELLS = 1 << 16
 AMBIGUOUS = 0.75
+SLICE = 250_000
 UNKNOWN = "und"
 
 
@@ -157,7 +158,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for batch in batches:
-            for s in slices(batch, "_text"):
+            for s in slices(batch, "_text", SLICE):
                 letter = np.array(s.column("_letter"), bool)
                 if m.langs:
                     best, score, unsure = m.decode(m.margins(s))

@@ -35,7 +35,7 @@ from .common import schema_with
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS = 400_000, 1_000_000
+CACHE, PAIRS = 100_000, 200_000  # entries of about 250 and 130 bytes, so at most 51 MB a worker
 FALLBACK = 1e6
 NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 

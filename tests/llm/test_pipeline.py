@@ -23,7 +23,8 @@ def test_stages(spark, docs, rows, tmp_path):
             continue  # the made-up languages are alike: the next stage starts from all documents
         kept = out
         if name == "near_duplicates":
-            assert ids == {i for i, c in brute_classes(plain).items() if c[2]}
+            assert ids == {i for i, c in brute_classes(plain, 80).items() if c == i}
+            assert {i for i, t in plain if i not in ids and not (t or "").split()} == set()
         if name == "substrings":
             assert ids == {i for i, n, gone, _ in brute_words(plain) if gone < n or n == 0}
         if name == "benchmark":
