@@ -27,21 +27,26 @@ def n_words(text: Column | str) -> Column:
     return F.size(words(text))
 
 
-def _letters(ws: Column, alphabet: Column) -> Column:
-    """One private-use character a word, by its place in the alphabet."""
-    code = lambda w: F.decode(F.unhex(F.hex(F.lit(57344) + F.array_position(alphabet, w))), "UTF-16BE")
+def letters(ws: Column, alphabet: Column) -> Column:
+    """One character a word, by its place in the alphabet: from the private-use area, and beyond its
+    6,400 characters from the planes above (more than 1,000,000 words; none of them is a surrogate)."""
+
+    def code(w: Column) -> Column:
+        n = F.array_position(alphabet, w)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 6400, n + 57344).otherwise(n - 6400 + 65536)), 8, "0")), "UTF-32")
+
     return F.array_join(F.transform(ws, code), "")
 
 
 def word_distance(a: Column | str, b: Column | str) -> Column:
     """Unit-cost Levenshtein distance of two word arrays.
 
-    Both lists are spelled over their common alphabet so that the built-in string distance, which
-    runs in generated code, can be used.  Up to 6,400 distinct words a pair.
+    Both lists are spelled over their common alphabet (by interpreted lambdas) so that the built-in
+    string distance can be used.
     """
     a, b = col(a), col(b)
     alphabet = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(_letters(a, alphabet), _letters(b, alphabet))
+    return F.levenshtein(letters(a, alphabet), letters(b, alphabet))
 
 
 def wer(edits: Column | str, ref_len: Column | str, hyp_len: Column | str) -> Column:
@@ -55,8 +60,9 @@ def char_similarity(a: Column | str, b: Column | str) -> Column:
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def order_key(uid: Column | str) -> Column:
-    return F.crc32(F.concat(F.lit("campaign-v1|"), col(uid)).cast("binary"))
+def order_key(uid: Column | str, salt: str) -> Column:
+    """A hash order that a salt fixes."""
+    return F.crc32(F.concat(F.lit(salt + "|"), col(uid)).cast("binary"))
 
 
 def utterance_seed(base: int, uid: Column | str, arm: Column | str) -> Column:

@@ -93,20 +93,31 @@ def align_pool(pool: DataFrame, backbone: DataFrame) -> DataFrame:
     """(key, slot, cand_i, off, word, conf): where every candidate's words fall; off is null and word
     empty where a candidate skips a backbone word.  Candidate -1 is the reference."""
 
-    def fn(r: dict) -> list[dict]:
-        spine = r["words"][r["order"].index(r["backbone"])]
-        seen: dict[tuple, list] = {}
-        out = []
-        for c, words, confs in [*zip(r["order"], r["words"], r["confs"]), (-1, r["ref"], None)]:
-            key = tuple(words)
-            steps = seen[key] if key in seen else seen.setdefault(key, placed(spine, words))
-            for slot, j in steps:
-                conf = 1.0 if j is None or confs is None or j >= len(confs) else confs[j]
-                out.append({"set_name": r["set_name"], "id": r["id"], "slot": slot, "cand_i": c, "off": j, "word": "" if j is None else words[j], "conf": conf})
-        return out
+    schema = "set_name string, id long, slot int, cand_i int, off int, word string, conf double"
+    names = ["set_name", "id", "slot", "cand_i", "off", "word", "conf"]
 
-    rows = gathered(pool).join(backbone.select(*KEY, "backbone"), KEY)
-    return per_row(rows, fn, "set_name string, id long, slot int, cand_i int, off int, word string, conf double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows, cols = [], [[] for _ in range(5)]
+                for n, (spine, order, lists, confs, ref) in enumerate(zip(*[part.column(c).to_pylist() for c in ("backbone", "order", "words", "confs", "ref")])):
+                    spine, seen = lists[order.index(spine)], {}
+                    for c, words, conf in [*zip(order, lists, confs), (-1, ref, None)]:
+                        key = tuple(words)
+                        if key not in seen:
+                            steps = placed(spine, words)
+                            seen[key] = [s for s, _ in steps], [j for _, j in steps], ["" if j is None else words[j] for _, j in steps]
+                        slots, offs, said = seen[key]
+                        known = len(conf) if conf is not None else 0
+                        rows.append((n, len(slots)))
+                        for col, more in zip(cols, (slots, [c] * len(slots), offs, said, [1.0 if j is None or j >= known else conf[j] for j in offs])):
+                            col += more
+                own = pa.array(np.repeat([n for n, _ in rows], [k for _, k in rows]) if rows else np.zeros(0, np.int64))
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column("set_name").take(own), part.column("id").take(own), *[pa.array(x, t) for x, t in zip(cols, kinds)]], names)
+
+    return gathered(pool).join(backbone.select(*KEY, "backbone"), KEY).mapInArrow(run, schema)
 
 
 def prepared(pool: DataFrame, strict: bool = True) -> DataFrame:
@@ -261,26 +272,31 @@ def _matrix(micro: DataFrame) -> DataFrame:
 def switch_edits(rows: list[list[str]], ref: list[str], most: int) -> list[int]:
     """Fewest edits of a path that changes candidate at most s times, for s = 0 .. most.
 
-    Reference words are skipped after a micro-slot, not before the first one.
+    One budget after the other: with s changes a line may be entered, at any micro-slot, from the best
+    of all lines with s - 1 (``joined``); all candidates' lines advance together.  Reference words are
+    skipped after a micro-slot, not before the first one.
     """
-    n, far = len(ref), 1e9
     if not rows:
-        return [n] * (most + 1)
-    k = len(rows[0])
-    state = np.full((most + 1, k, n + 1), far)
-    state[0, :, 0] = 0
-    down = np.arange(n + 1)
-    for row in rows:
-        enter = state.copy()
-        enter[1:] = np.minimum(enter[1:], state.min(1)[:-1, None, :])
-        new = enter.copy()
-        for c, w in enumerate(row):
-            if w:
-                new[:, c] = enter[:, c] + 1
-                if n:
-                    new[:, c, 1:] = np.minimum(new[:, c, 1:], enter[:, c, :-1] + np.array([w != r for r in ref], float))
-        state = np.minimum.accumulate(new - down, axis=2) + down
-    return [int(x) for x in np.minimum.accumulate(state[:, :, n].min(1))]
+        return [len(ref)] * (most + 1)
+    number = {w: i for i, w in enumerate(dict.fromkeys(["", *ref]))}
+    said = np.array([[number.get(w, -1) for w in row] for row in rows])
+    want, along = np.array([number[w] for w in ref], int), np.arange(len(ref) + 1)
+    start = np.full((len(rows) + 1, len(ref) + 1), np.inf)
+    start[0, 0] = 0
+    joined, out = start, []
+    for _ in range(most + 1):
+        reached, lines = start.copy(), np.full((said.shape[1], len(ref) + 1), np.inf)
+        for t, words in enumerate(said):
+            lines = np.minimum(lines, joined[t])
+            spoken = (words != 0)[:, None]
+            extra = lines + spoken
+            matched = lines[:, :-1] + (want != words[:, None])
+            extra[:, 1:] = np.where(spoken, np.minimum(extra[:, 1:], matched), extra[:, 1:])
+            lines = np.minimum.accumulate(extra - along, axis=1) + along
+            reached[t + 1] = lines.min(0)
+        out.append(int(reached[-1, -1]))
+        joined = reached
+    return out
 
 
 def switch_oracle(micro: DataFrame, refs: DataFrame, budgets: list[int]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Tables in the engine's own shapes, derived from the driver tables, and their SQL counterparts.
 
-F1 is a pool of eight candidates per English document, with deletions, repetitions and
+F1 is a pool of eight candidates per sentence of the conversations, with deletions, repetitions and
 substitutions; F1b is its positional sibling, one slot a reference word; F2 is a ladder of facts.
 """
 
@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of three words or more of every turn of every conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.select("conv_id", "turn", "role", F.posexplode(F.split("text", r"[.\n]")).alias("_p", "text"))
     clean = F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", "")
-    ref = F.slice(F.filter(F.split(clean, r"\s+"), lambda w: w != ""), 1, 12)
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return docs.select(F.col("doc_id").alias("id"), F.col("source").alias("set_name"), (F.col("doc_id") % 40).alias("cluster"), (F.col("n_chars") / 100.0).alias("duration_s"), ref.alias("ref")).filter(F.size("ref") >= 3)
+    ref = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    id_ = F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("_p") + 1
+    return said.select(id_.alias("id"), F.col("role").alias("set_name"), (F.col("conv_id") % 40).alias("cluster"), (F.length("text") / 100.0).alias("duration_s"), ref.alias("ref")).filter(F.size("ref") >= 3)
 
 
 def _confidences(df: DataFrame) -> DataFrame:
@@ -82,18 +85,19 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("e_oracle_comp", F.when(F.col("k") % 2 == 0, F.floor(F.col("e_oracle_cand") / 2).cast("long"))).withColumn("e_control", F.least("e_oracle_cand", F.floor((F.col("e_oracle_cand") * 3) / 4).cast("long") + 0))
 
 
-_BASE = """base AS (SELECT doc_id, source, n_chars, list_slice(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''), 1, 12) AS ref
- FROM documents WHERE lang = 'en')"""
+_BASE = """said AS (SELECT conv_id, turn, role, unnest(s) AS text, generate_subscripts(s, 1) AS p FROM (SELECT *, string_split_regex(text, '[.\\n]') AS s FROM conversations)),
+base AS (SELECT conv_id * 1000000 + turn * 1000 + p AS id, role AS set_name, conv_id % 40 AS cluster, length(text) / 100.0 AS duration_s, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> '') AS ref
+ FROM said)"""
 
 F1 = f"""WITH {_BASE},
-pool0 AS (SELECT doc_id, source, n_chars, r, ref, flatten(list_transform(ref, lambda w, i:
-  CASE (doc_id * 31 + r * 17 + i * 7) % 23 WHEN 0 THEN []::varchar[] WHEN 1 THEN [w, w] WHEN 2 THEN [ref[(i % len(ref)) + 1]] ELSE [w] END)) AS c
+pool0 AS (SELECT id, set_name, cluster, duration_s, r, ref, flatten(list_transform(ref, lambda w, i:
+  CASE (id * 31 + r * 17 + i * 7) % 23 WHEN 0 THEN []::varchar[] WHEN 1 THEN [w, w] WHEN 2 THEN [ref[(i % len(ref)) + 1]] ELSE [w] END)) AS c
  FROM base, range(8) t(r) WHERE len(ref) >= 3),
 coded AS (SELECT *, list_distinct(list_concat(ref, c)) AS d FROM pool0),
-cand AS (SELECT doc_id AS id, source AS set_name, doc_id % 40 AS cluster, n_chars / 100.0 AS duration_s, r AS cand_i, ref, c AS words, len(ref) AS ref_len, len(c) AS n_words, len(c) + 3 AS n_tokens,
-  ((doc_id * 13 + r * 29) % 97) / 100.0 AS avg_conf, ((doc_id * 13 + r * 29) % 97) / 200.0 AS min_conf, ((doc_id * 7 + r * 11) % 89) / 100.0 AS median_conf,
-  -((doc_id * 3 + r * 19) % 83) / 10.0 AS mean_logprob, ((doc_id * 5 + r * 23) % 79) / 20.0 AS mean_entropy,
-  list_transform(c, lambda w, i: ((doc_id * 31 + r * 17 + i * 7) % 101) / 100.0) AS word_conf,
+cand AS (SELECT id, set_name, cluster, duration_s, r AS cand_i, ref, c AS words, len(ref) AS ref_len, len(c) AS n_words, len(c) + 3 AS n_tokens,
+  ((id * 13 + r * 29) % 97) / 100.0 AS avg_conf, ((id * 13 + r * 29) % 97) / 200.0 AS min_conf, ((id * 7 + r * 11) % 89) / 100.0 AS median_conf,
+  -((id * 3 + r * 19) % 83) / 10.0 AS mean_logprob, ((id * 5 + r * 23) % 79) / 20.0 AS mean_entropy,
+  list_transform(c, lambda w, i: ((id * 31 + r * 17 + i * 7) % 101) / 100.0) AS word_conf,
   levenshtein(array_to_string(list_transform(ref, lambda w: chr(33 + list_position(d, w)::int)), ''), array_to_string(list_transform(c, lambda w: chr(33 + list_position(d, w)::int)), '')) AS e
  FROM coded)"""
 
@@ -107,11 +111,11 @@ scored AS (SELECT cand.*, mbr_wer, total, avg_conf AS mean_conf, -mean_entropy A
 )
 
 F1B = f"""WITH {_BASE},
-cells AS (SELECT doc_id AS id, source AS set_name, doc_id % 40 AS cluster, r AS cand_i, pos AS slot, ref[pos] AS ref_word, len(ref) AS ref_len,
-  CASE WHEN (doc_id * 31 + r * 17 + pos * 7) % 23 IN (0, 5) THEN '' WHEN (doc_id * 31 + r * 17 + pos * 7) % 23 IN (2, 7) THEN ref[(pos % len(ref)) + 1]
-       WHEN (doc_id * 31 + r * 17 + pos * 7) % 23 = 11 THEN ref[((pos + 1) % len(ref)) + 1] ELSE ref[pos] END AS word,
-  ((doc_id * 31 + r * 17 + pos * 7) % 101) / 100.0 AS conf
- FROM base, range(8) t(r), range(1, 13) p(pos) WHERE len(ref) >= 3 AND pos <= len(ref)),
+cells AS (SELECT id, set_name, cluster, r AS cand_i, pos AS slot, ref[pos] AS ref_word, len(ref) AS ref_len,
+  CASE WHEN (id * 31 + r * 17 + pos * 7) % 23 IN (0, 5) THEN '' WHEN (id * 31 + r * 17 + pos * 7) % 23 IN (2, 7) THEN ref[(pos % len(ref)) + 1]
+       WHEN (id * 31 + r * 17 + pos * 7) % 23 = 11 THEN ref[((pos + 1) % len(ref)) + 1] ELSE ref[pos] END AS word,
+  ((id * 31 + r * 17 + pos * 7) % 101) / 100.0 AS conf
+ FROM base, range(8) t(r), unnest(generate_series(1, len(ref))) p(pos) WHERE len(ref) >= 3),
 votes AS (SELECT set_name, id, cluster, slot, ref_word, ref_len, word, count(*) AS votes, sum(conf) AS conf_sum, min(cand_i) AS ord FROM cells GROUP BY ALL)"""
 
 F2 = """WITH fb AS (SELECT o_orderpriority AS set_name, 'm' || (o_custkey % 3) AS model, l_orderkey AS id, l_linenumber AS k, o_custkey AS cluster,

@@ -109,6 +109,7 @@ def _(spark, d):
 
 @query("cost_curve", select_sql(F2 + f", kc AS (SELECT model, k, {_wer('rover_cg')} AS rover FROM facts GROUP BY 1, 2)", "model:s; k:b; cost_ms:d=CASE WHEN k <= 1 THEN 130 WHEN k <= 3 THEN 130 + (181 - 130) * (k - 1) / 2.0 WHEN k <= 5 THEN 181 + (302 - 181) * (k - 3) / 2.0 ELSE 302 + (599 - 302) * (k - 5) / 5.0 END; rover:d", "FROM kc"))
 def _(spark, d):
+    # Measured decode cost in milliseconds at k = 1, 3, 5, 10.
     points = [(1, 130.0), (3, 181.0), (5, 302.0), (10, 599.0)]
     cost = F.lit(points[0][1])
     for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
@@ -136,7 +137,47 @@ def _(spark, d):
 # --- resampling --------------------------------------------------------------------------------
 
 
-@query("bootstrap_paired")
+def _draw_sql(*keys: str) -> str:
+    """The SQL of ``stats.draw`` with seed 0."""
+    x = "(" + " + ".join(f"{k} * {f}" for k, f in zip(keys, (7919, 104729, 15485863))) + f") % {stats.PRIME}"
+    x = f"(({x}) * 48271) % {stats.PRIME}"
+    return f"((((({x}) * ({x}) + ({x})) % {stats.PRIME}) * 69621) % {stats.PRIME}) / CAST({stats.PRIME} AS DOUBLE)"
+
+
+_WEIGHT = " + ".join(f"(u >= {p!r})::int" for p in stats.poisson_steps())
+
+
+def _rounds_sql(name: str, rows: str, by: str, keys: list[str], rounds: int, least: str) -> str:
+    """CTEs name_q with the rounds' quantiles, deviation and share of non-positive rates."""
+    return f""", {name}_u AS (SELECT *, {_draw_sql(*keys, "rd")} AS u FROM {rows}, range({rounds}) t(rd)),
+{name}_r AS (SELECT {by}, rd, 100.0 * sum(d * ({_WEIGHT})) / greatest(sum(w * ({_WEIGHT})), {least}) AS r FROM {name}_u GROUP BY ALL),
+{name}_q AS (SELECT {by}, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi, stddev_samp(r) AS se, avg(CASE WHEN r <= 0 THEN 1.0 ELSE 0 END) AS low FROM {name}_r GROUP BY ALL)"""
+
+
+def _erfc_poly() -> str:
+    poly = repr(stats.ERFC[-1])
+    for c in reversed(stats.ERFC[:-1]):
+        poly = f"(({poly}) * t + {c!r})"
+    return poly
+
+
+def _rank_sql(by: str) -> str:
+    """CTE rank_p with the signed-rank p-value of column d of f."""
+    return f""", sizes AS (SELECT {by}, abs(d) AS v, count(*)::double AS m, count(*) FILTER (d > 0) AS up FROM f WHERE d <> 0 GROUP BY ALL),
+ranks AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY {by} ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (m + 1) / 2 AS rk FROM sizes),
+tests AS (SELECT {by}, sum(up * rk) AS plus, sum(m) AS n, sum(m * m * m - m) AS ties FROM ranks GROUP BY ALL),
+vars AS (SELECT *, n * (n + 1) / 4 AS half, n * (n + 1) / 4 * (2 * n + 1) / 6 - ties / 48 AS var FROM tests),
+rank_z AS (SELECT {by}, CASE WHEN var > 0 THEN abs(plus - half) / sqrt(var) / sqrt(2.0) END AS z FROM vars),
+rank_p AS (SELECT {by}, least(1.0, t * exp({_erfc_poly()} - z * z)) AS p FROM (SELECT *, 1.0 / (1.0 + 0.5 * z) AS t FROM rank_z))"""
+
+
+_F_K2 = F2 + ", f AS (SELECT model, set_name, id, k, cluster, e_conf - e_rover_cg AS d, ref_len AS w FROM facts WHERE k = 2)"
+_G_K2 = ", g AS (SELECT model, set_name, cluster, sum(d) AS d, sum(w) AS w FROM f GROUP BY ALL)"
+_CELLS = ", c AS (SELECT model, set_name, 100.0 * sum(d) / sum(w) AS delta, count(*) AS n, count(*) FILTER (d > 0) AS n_better, count(*) FILTER (d < 0) AS n_worse, count(*) FILTER (d = 0) AS n_tied, count(DISTINCT cluster) AS n_clusters FROM f GROUP BY ALL HAVING sum(w) > 0)"
+_PAIRED = _F_K2 + _G_K2 + _CELLS + _rounds_sql("one", "f", "model, set_name", ["id", "k"], 500, "1e-12") + _rounds_sql("cl", "g", "model, set_name", ["cluster"], 500, "1.0") + _rank_sql("model, set_name")
+
+
+@query("bootstrap_paired", select_sql(_PAIRED, "model:s; set_name:s; delta:d; ci_low:d=one_q.lo; ci_high:d=one_q.hi; se:d=one_q.se; p_boot:d=one_q.low; n:b; n_better:b; n_worse:b; n_tied:b; p_wilcoxon:d=CASE WHEN n = n_tied THEN 1.0 ELSE p END; n_clusters:b; cl_ci_low:d=CASE WHEN n_clusters >= 5 AND n_clusters < n THEN cl_q.lo END; cl_ci_high:d=CASE WHEN n_clusters >= 5 AND n_clusters < n THEN cl_q.hi END", "FROM c JOIN one_q USING (model, set_name) JOIN cl_q USING (model, set_name) LEFT JOIN rank_p USING (model, set_name)"))
 def _(spark, d):
     return stats.bootstrap(facts(spark, d).filter("k = 2"), ["model", "set_name"], "e_conf", "e_rover_cg", rounds=500)
 
@@ -163,7 +204,7 @@ def _(spark, d):
     return b.groupBy("k").agg(F.count("*").alias("chosen")).join(t, "k").select("k", "chosen", F.col("wer").alias("test_wer"))
 
 
-@query("wilcoxon")
+@query("wilcoxon", select_sql(F2 + ", f AS (SELECT model, e_conf - e_mbr AS d FROM facts WHERE k = 1)" + _rank_sql("model"), "model:s; n:b=any_value(n0); p_wilcoxon:d=CASE WHEN any_value(zeros) = any_value(n0) THEN 1.0 ELSE max(p) END", "FROM (SELECT model, count(*) AS n0, count(*) FILTER (d = 0) AS zeros FROM f GROUP BY 1) LEFT JOIN rank_p USING (model) GROUP BY 1"))
 def _(spark, d):
     return stats.bootstrap(facts(spark, d).filter("k = 1"), ["model"], "e_conf", "e_mbr", rounds=50).select("model", "n", "p_wilcoxon")
 
@@ -275,13 +316,13 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_min(F.array(*[F.struct(F.abs(want - k).alias("d"), F.lit(k).alias("k")) for k in (1, 2, 4, 8, 16)]))["k"].alias("k"))
 
 
-_TOK = "WITH t AS (SELECT doc_id, list_slice(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> ''), 1, 30) AS w FROM documents WHERE lang = 'en'), b AS (SELECT coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS prev, x AS cur FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t))"
+_TOK = "WITH t AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\\s]', '', 'g'), '\\s+'), lambda w: w <> '') AS w FROM documents), b AS (SELECT coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS prev, x AS cur FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t))"
 
 
 def _bigrams(spark, d):
     clean = F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", "")
-    words = F.slice(F.filter(F.split(clean, r"\s+"), lambda w: w != ""), 1, 30)
-    t = table(spark, d, "documents").filter("lang = 'en'").select(F.concat(F.array(F.lit("<s>")), words).alias("w"))
+    words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    t = table(spark, d, "documents").select(F.concat(F.array(F.lit("<s>")), words).alias("w"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("prev"), F.get("w", i).alias("cur")))
     return t.filter(F.size("w") > 1).select(F.explode(pairs).alias("p")).select("p.prev", "p.cur")
 

@@ -14,6 +14,7 @@ from .fixtures import F1B, pool, positional, select_sql
 from .registry import query
 
 KEY = net.KEY
+# The parameter grid.
 ALPHAS, EPSES, GAMMAS, LAMBDAS = [0.3, 0.5, 0.7, 0.85, 1.0], [0.3, 0.5, 0.7], [0.0, 0.5, 1.0], [0.0, 0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 
 
@@ -389,8 +390,9 @@ def _(spark, d):
 
 @query("path_membership")
 def _(spark, d):
-    """Every candidate must be a path of its network."""
+    """Every candidate must be a path of its network: its words, in order of the slots."""
     _, _, a = aligned(spark, d)
-    m = net.micro_slots(a)
-    mine = m.filter("word <> ''").groupBy(*KEY, "cand_i").agg(F.count("*").alias("n_on_path"))
-    return pool(spark, d).select(*KEY, "cand_i", "n_words").join(mine, [*KEY, "cand_i"], "left").select(*KEY, "cand_i", "n_words", F.coalesce("n_on_path", F.lit(0)).alias("n_on_path"), (F.col("n_words") == F.coalesce("n_on_path", F.lit(0))).alias("is_path"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("t", "word"))), lambda x: x["word"])
+    path = net.micro_slots(a).filter("word <> ''").groupBy(*KEY, "cand_i").agg(said.alias("path"))
+    x = pool(spark, d).select(*KEY, "cand_i", "words", "n_words").join(path, [*KEY, "cand_i"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
+    return x.select(*KEY, "cand_i", "n_words", F.size("path").alias("n_on_path"), (F.col("path") == F.col("words")).alias("is_path"))

@@ -31,7 +31,7 @@ def _(spark, d):
 @query("crc_order_shard", None)
 def _(spark, d):
     docs = table(spark, d, "documents").select("source", F.concat(F.lit("doc-"), F.col("doc_id")).alias("uid"))
-    w = Window.partitionBy("source").orderBy(tx.order_key("uid"), "uid")
+    w = Window.partitionBy("source").orderBy(tx.order_key("uid", "pool-1"), "uid")
     return docs.select("source", "uid", tx.utterance_seed(1234, "uid", F.lit("main")).alias("seed"), (F.row_number().over(w) - 1).alias("rank")).withColumn("shard", F.floor(F.col("rank") / 200))
 
 

@@ -1,7 +1,10 @@
 """Text rules, readers, statistics and learned models on edge rows."""
 
+import math
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lattiq.functions import text as tx
@@ -35,14 +38,32 @@ def test_collapse_runs(spark):
     assert [(x["token"], round(x["conf"], 3)) for x in got] == [(5, 0.3), (5, 0.6), (7, 0.7)]
 
 
-def test_bootstrap_properties():
-    a, w = np.array([3, 1, 4, 1, 5, 9]), np.array([10, 10, 10, 10, 10, 10])
-    same = stats.paired_delta(a, a, w, rounds=100)
+def test_bootstrap_properties(spark):
+    def delta(a, b, w, clusters):
+        rows = [(0, i, *x) for i, x in enumerate(zip(a, b, w, clusters))]
+        return spark.createDataFrame(rows, "cell int, id long, a long, b long, ref_len long, cluster int").transform(stats.bootstrap, ["cell"], "a", "b", rounds=200).collect()
+
+    a = [3, 1, 4, 1, 5, 9]
+    (same,) = delta(a, a, [10] * 6, range(6))
     assert same["delta"] == same["ci_low"] == same["ci_high"] == 0 and same["p_wilcoxon"] == 1.0
-    d = stats.paired_delta(a, a - 1, w, [1, 1, 2, 3, 4, 5], rounds=200)
-    assert d["ci_low"] <= d["delta"] <= d["ci_high"] and d["n_better"] == 6 and "cl_ci_low" in d
-    assert stats.paired_delta([], [], []) == {} and stats.paired_delta([1], [1], [0]) == {}
-    assert "cl_ci_low" not in stats.paired_delta(a, a - 1, w, [1, 1, 1, 2, 2, 2], rounds=10)
+    (d,) = delta(a, [x - 1 for x in a], [10] * 6, [1, 1, 2, 3, 4, 5])
+    assert d["ci_low"] <= d["delta"] <= d["ci_high"] and d["n_better"] == 6 and d["cl_ci_low"] is not None
+    assert delta([1], [1], [0], [1]) == []
+    (few,) = delta(a, [x - 1 for x in a], [10] * 6, [1, 1, 1, 2, 2, 2])
+    assert few["cl_ci_low"] is None
+
+
+def test_signed_rank_and_weights(spark):
+    d = [1, -2, 2, 3, 3, -1, 5, 0, 4, 1, 2]
+    p = spark.createDataFrame([(0, x) for x in d], "c int, d int").transform(stats.signed_rank, ["c"], "d").first()["p_wilcoxon"]
+    size = sorted(abs(x) for x in d if x)
+    rank = {v: sum(i + 1 for i, x in enumerate(size) if x == v) / size.count(v) for v in size}
+    n, plus = len(size), sum(rank[x] for x in d if x > 0)
+    var = n * (n + 1) * (2 * n + 1) / 24 - sum(size.count(v) ** 3 - size.count(v) for v in set(size)) / 48
+    assert p == pytest.approx(math.erfc(abs(plus - n * (n + 1) / 4) / math.sqrt(2 * var)), rel=1e-5)
+    u = spark.range(20000).select(stats.draw([F.col("id"), F.col("id") % 7, F.col("id") % 11], 3).alias("u")).toPandas()["u"]
+    counts = np.bincount(np.searchsorted(stats.poisson_steps(), u, "right")) / len(u)
+    assert counts[:4] == pytest.approx([0.3679, 0.3679, 0.1839, 0.0613], abs=0.015)
 
 
 def test_isotonic_is_monotone():
