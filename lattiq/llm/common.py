@@ -8,7 +8,10 @@ the memory of a Python worker whatever the Arrow batch size is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 U64 = np.uint64
 MASK64 = (1 << 64) - 1
 
@@ -190,7 +193,7 @@ def shared_dir(spark: SparkSession) -> str:
     return set_
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -218,6 +221,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def lean(run):
+    """A batch function that gives free memory back to the system at the end of a task: workers are
+    reused, and what an earlier step left allocated would add to the needs of the next."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return wrapped
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -296,7 +315,7 @@ def possible(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
             hit = ((t[at >> 5] >> (at & 31).astype(np.uint32)) & 1).all(1)
             yield batch.drop_columns(["_places"]).filter(pa.array(hit))
 
-    return keyed.mapInArrow(run, docs.schema)
+    return keyed.mapInArrow(lean(run), docs.schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

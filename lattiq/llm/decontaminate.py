@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, Words, signed, slices, stored
+from .common import Slice, Words, lean, signed, slices, stored
 
 WINDOW = 10
 SLOP = 20
@@ -143,7 +143,7 @@ def build(docs: DataFrame) -> DataFrame:
                     ["doc_ids", "counts", "terms", "spelled", "bounds", "positions"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, counts array<int>, terms array<long>, spelled binary, bounds array<int>, positions array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_ids array<long>, counts array<int>, terms array<long>, spelled binary, bounds array<int>, positions array<int>")
 
 
 def _lists(terms: np.ndarray, spelled: list[bytes], bounds: np.ndarray, positions: np.ndarray, q: Phrases) -> PositionalIndex:
@@ -224,7 +224,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slo
                     ["doc_id", "n_words", "hits", "items", "near_items"],
                 )
 
-    return stored(build(rows), "postings").mapInArrow(search, _SCHEMA)
+    return stored(build(rows), "postings").mapInArrow(lean(search), _SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -233,7 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch, limit=SHARD_BYTES):
+            for s in slices(batch, limit=SHARD_BYTES // 4):
                 w = Words(s, SEPARATORS, fold=True)
                 parts, hit = _postings(w), np.zeros(s.n, bool)
                 for q in _each(blocks):
@@ -241,7 +241,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
                         hit[row] = True
                 yield s.rows.filter(pa.array(~hit))
 
-    return docs.mapInArrow(keep, docs.schema) if blocks else docs
+    return docs.mapInArrow(lean(keep), docs.schema) if blocks else docs
 
 
 def n_covered(hits: str = "hits") -> F.Column:

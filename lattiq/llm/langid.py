@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Slice, bounded_sample, bucket_of, schema_with, sigmoid, slices
+from .common import LOWER, Slice, bounded_sample, bucket_of, lean, schema_with, sigmoid, slices
 
 PER_LANGUAGE = 400
 CELLS = 1 << 16
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
                 cols = [s.rows.column(c) for c in keep]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(unsure | ~letter)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, discard, grams, possible, signed, slices, stored
+from .common import Words, discard, grams, lean, possible, signed, slices, stored
 
 K = 5
 MISS = 4e-7
@@ -91,7 +91,7 @@ def profiles(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     ["doc_id", "n_shingles", "set_a", "set_b", "probes"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PROFILE)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), _PROFILE)
 
 
 class _Union:
@@ -208,7 +208,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in slices(batch, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([s.rows.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(s)], pa.binary())], ["doc_id", "shingles"])
 
-    sets = possible(docs.select("doc_id", "text"), wanted).mapInArrow(run, "doc_id long, shingles binary")
+    sets = possible(docs.select("doc_id", "text"), wanted).mapInArrow(lean(run), "doc_id long, shingles binary")
     return sets.join(wanted, "doc_id", "left_semi")
 
 
@@ -238,7 +238,7 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     dealt = members.repartition("v", "block").sortWithinPartitions("v", "block")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _roots(edges: DataFrame) -> DataFrame:

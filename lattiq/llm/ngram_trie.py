@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Slice, Words, bucket_of, discard, mix, remove, schema_with, shared_dir, signed, slices, stored
+from .common import U64, Slice, Words, bucket_of, discard, lean, mix, remove, schema_with, shared_dir, signed, slices, stored
 
 ORDER = 3
 DISCOUNT = 0.6
@@ -426,7 +426,7 @@ def _words(training: DataFrame) -> DataFrame:
         k, c = tally.take()
         yield pa.RecordBatch.from_arrays([pa.array(signed(k.astype(np.uint64))), pa.array(c)], ["h", "n"])
 
-    return training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 _MADE = "shard long, path string, rows long, once long, twice long, big array<long>, counts array<long>"
@@ -481,8 +481,8 @@ def _first_level(words: DataFrame, types: int, uri: str, name: str) -> _Parts:
             save(uri, path, arrays, meta)
             yield _made(int(t.column("shard")[0].as_py()), path, n[order], limit)
 
-    dealt = words.select("h", "n").mapInArrow(number, "shard int, h long, n long").repartitionById(shards, F.col("shard"))
-    return _Parts.of(dealt.mapInArrow(write, _MADE), shards)
+    dealt = words.select("h", "n").mapInArrow(lean(number), "shard int, h long, n long").repartitionById(shards, F.col("shard"))
+    return _Parts.of(dealt.mapInArrow(lean(write), _MADE), shards)
 
 
 def _count_level(training: DataFrame, model: Model, n: int, hot: np.ndarray, uri: str, name: str) -> _Parts:
@@ -541,8 +541,8 @@ def _count_level(training: DataFrame, model: Model, n: int, hot: np.ndarray, uri
         save(uri, path, arrays, meta)
         yield _made(shard, path, counts, limit)
 
-    dealt = training.select("text").mapInArrow(count, "shard int, keys binary, counts binary").repartitionById(shards, F.col("shard"))
-    return _Parts.of(dealt.mapInArrow(merge, _MADE), shards)
+    dealt = training.select("text").mapInArrow(lean(count), "shard int, keys binary, counts binary").repartitionById(shards, F.col("shard"))
+    return _Parts.of(dealt.mapInArrow(lean(merge), _MADE), shards)
 
 
 def _quantise(spark: SparkSession, parts: _Parts, hot: np.ndarray, hot_count: np.ndarray, uri: str, name: str) -> Level:
@@ -574,7 +574,7 @@ def _quantise(spark: SparkSession, parts: _Parts, hot: np.ndarray, hot_count: np
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([path]), pa.array([context[spread]], pa.list_(pa.int64())), pa.array([kept[spread]], pa.list_(pa.float64()))], ["shard", "path", "hot", "kept"])
 
     shards = len(parts.paths)
-    made = spark.range(0, shards, 1, min(shards, 2048)).mapInArrow(run, "shard long, path string, hot array<long>, kept array<double>").collect()
+    made = spark.range(0, shards, 1, min(shards, 2048)).mapInArrow(lean(run), "shard long, path string, hot array<long>, kept array<double>").collect()
     paths, kept = [""] * shards, dict.fromkeys(hot.tolist(), 0.0)
     for r in made:
         paths[r["shard"]] = r["path"]
@@ -620,7 +620,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 cols = [np.diff(first), np.add.reduceat(count > 0, first[:-1], dtype=np.int64), np.full(s.n, m.total), np.add.reduceat(np.log10(base), first[:-1]), np.add.reduceat(np.log10(p), first[:-1])]
                 yield pa.RecordBatch.from_arrays([*[s.rows.column(c) for c in keep], *[pa.array(c) for c in cols]], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Slice, Words, bucket_of, labelled_texts, mix, schema_with, sigmoid, slices
+from .common import U64, Slice, Words, bucket_of, labelled_texts, lean, mix, schema_with, sigmoid, slices
 
 CELLS, DIM, REACH = 1 << 13, 32, 2
 PER_CLASS = 3000
@@ -98,9 +98,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["part", "sums"])
 
-    spread = docs.select("text").mapInArrow(local, "part int, salt int, sums binary").repartition(64, "salt", "part")
+    spread = docs.select("text").mapInArrow(lean(local), "part int, salt int, sums binary").repartition(64, "salt", "part")
     table = np.zeros((PARTS, share), np.float64)
-    for r in spread.select("part", "sums").mapInArrow(add, "part int, sums binary").toLocalIterator():
+    for r in spread.select("part", "sums").mapInArrow(lean(add), "part int, sums binary").toLocalIterator():
         table[r["part"]] += np.frombuffer(r["sums"], np.float32)
     vectors = table.reshape(CELLS, DIM)
     norm = np.sqrt((vectors**2).sum(1, keepdims=True))
@@ -193,7 +193,7 @@ def _features(rows: DataFrame, vectors: np.ndarray, keep: list[str], extra) -> D
 
     out = schema_with(rows, keep, "x array<float>" if extra is None else "score double, predicted int")
     names = out.names
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lean(run), out)
 
 
 def _constant(rate: float, x: np.ndarray) -> np.ndarray:

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_with
+from .common import lean, schema_with
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE, PAIRS = 100_000, 200_000  # entries of about 250 and 130 bytes, so at most 51 MB a worker
+CACHE, PAIRS = 120_000, 300_000  # a generation; entries of about 250 and 130 bytes, two generations: 138 MB a worker
 FALLBACK = 1e6
 NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 
@@ -63,11 +63,13 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self._stable: dict[int, bool] = {}
+        self._stable_old: dict[int, bool] = {}
+        self._chunks_old: dict[str, array] = {}
         self._edge: dict[int, tuple | None] = {}
         self._chunks: dict[str, array] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "_stable", "_edge", "_chunks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "_edge", "_stable", "_stable_old", "_chunks", "_chunks_old")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -130,17 +132,27 @@ class Transducer:
         the order of their weights, leftmost first, so two edge symbols meet unless one has gone."""
         key = p << 32 | q
         known = self._stable.get(key)
+        if known is None and (known := self._stable_old.get(key)) is not None:
+            self._keep("_stable", key, known, PAIRS)
         if known is None:
             a, b = self._edges(p), self._edges(q)
             known = a is not None and b is not None
             if known:
                 ids, weight = self.ids, self.weight
                 known = not any((k := ids.get(x + y)) is not None and weight[k] < until_x and weight[k] <= until_y for x, until_x in a[0] for y, until_y in b[1])
-            if len(self._stable) >= PAIRS:
-                self._stable.clear()
-            self._stable[key] = known
+            self._keep("_stable", key, known, PAIRS)
         return known
 
+    def _keep(self, name: str, key, value, most: int) -> None:
+        """Remember in the young generation; when it is full it becomes the old one, whose entries
+        come back as they are met, so that frequent ones stay."""
+        young = getattr(self, name)
+        if len(young) >= most:
+            setattr(self, f"{name}_old", young)
+            young = {}
+            setattr(self, name, young)
+        young[key] = value
+
     def _fallback(self, char: str) -> list[int]:
         return [self.byte.get(b, self.unknown) for b in char.encode()] if self.byte else [self.unknown]
 
@@ -224,15 +236,14 @@ class Transducer:
 
     def encode(self, text: str) -> array:
         out = array("i")
-        chunks = self._chunks
         for chunk in self._cut.findall(self.normalise(text)):
-            ids = chunks.get(chunk)
+            ids = self._chunks.get(chunk)
             if ids is None:
-                ids = self.shortest_path(chunk)
+                ids = self._chunks_old.get(chunk)
+                if ids is None:
+                    ids = self.shortest_path(chunk)
                 if len(chunk) <= 64:
-                    if len(chunks) >= CACHE:
-                        chunks.clear()
-                    chunks[chunk] = ids
+                    self._keep("_chunks", chunk, ids, CACHE)
             out += ids
         return out
 
@@ -263,7 +274,7 @@ def encode(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id
                 decoded = [None if x is None else t.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists, pa.array(sizes, pa.int64()), pa.array(decoded, pa.string())], [*keep, "ids", "n_pieces", "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, model: str = MODEL) -> DataFrame:

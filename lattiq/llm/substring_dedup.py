@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors, recurring, runs, wanted_anchors
-from .common import Words, discard, keyed, possible, rolling, signed, slices, stored
+from .common import SLICE_BYTES, Words, discard, keyed, lean, possible, rolling, signed, slices, stored
 
 WINDOW, GRAM = 50, 10
 SHARD_WINDOWS = 12_000
@@ -52,7 +52,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, limit=SLICE_BYTES // 2):
                 w = Words(s)
                 a = _anchors(w)
                 cut = np.searchsorted(a.row, np.arange(s.n + 1))
@@ -66,7 +66,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     ["rid", "doc_id", "n_words", "digest", "anchors"],
                 )
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_words long, digest binary, anchors array<long>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(lean(run), "rid long, doc_id long, n_words long, digest binary, anchors array<long>")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _segments(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in slices(batch, limit=1_000_000):
+            for s in slices(batch, limit=SLICE_BYTES // 2):
                 w = Words(s)
                 a = _anchors(w)
                 at = wanted_anchors(s, a)
@@ -96,7 +96,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                     ["rid", "doc_id", "start", "reps", "step", "h", "segment", "words"],
                 )
 
-    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(run, "rid long, doc_id long, start long, reps int, step int, h long, segment binary, words binary")
+    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(lean(run), "rid long, doc_id long, start long, reps int, step int, h long, segment binary, words binary")
 
 
 def _windows(segments: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _windows(segments: DataFrame) -> DataFrame:
                     ["x", "y", "h", "segment", "lo", "hi", "off"],
                 )
 
-    return segments.select("h", "segment", "lo", "hi", "words").mapInArrow(run, "x long, y long, h long, segment binary, lo long, hi long, off int")
+    return segments.select("h", "segment", "lo", "hi", "words").mapInArrow(lean(run), "x long, y long, h long, segment binary, lo long, hi long, off int")
 
 
 class Automaton:
@@ -175,7 +175,7 @@ def _locate(dealt: DataFrame) -> DataFrame:
                     firsts.append([b for _, b in hits])
             yield pa.RecordBatch.from_arrays([pa.array(seg, pa.binary()), pa.array(offs, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))], ["segment", "offs", "firsts"])
 
-    return dealt.mapInArrow(run, "segment binary, offs array<int>, firsts array<long>")
+    return dealt.mapInArrow(lean(run), "segment binary, offs array<int>, firsts array<long>")
 
 
 def _hits(segments: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array([n for n, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary()).cast(pa.string())], ["rid", "n_removed", "kept"])
 
     rows = rows.select("rid", "text", F.col("spans.lo").alias("lows"), F.col("spans.hi").alias("highs"))
-    return rows.mapInArrow(run, "rid long, n_removed long, kept string")
+    return rows.mapInArrow(lean(run), "rid long, n_removed long, kept string")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

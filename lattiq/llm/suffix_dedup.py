@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Anchors, recurring, runs, wanted_anchors
-from .common import Slice, byte_symbols, discard, keyed, possible, rolling, signed, slices, span_hash, stored
+from .common import Slice, byte_symbols, discard, keyed, lean, possible, rolling, signed, slices, span_hash, stored
 
 WINDOW, GRAM = 100, 24
 HOT = 1024
@@ -153,7 +153,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     ["rid", "doc_id", "n_bytes", "digest", "anchors"],
                 )
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n_bytes long, digest binary, anchors array<long>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(lean(run), "rid long, doc_id long, n_bytes long, digest binary, anchors array<long>")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def _segments(docs: DataFrame) -> DataFrame:
                 cols = [lo[head] - s.off[row], (hi - lo)[head].astype(np.int32), reps.astype(np.int32), step.astype(np.int32), signed(a.h[at][head]), signed(x[head]), signed(y[head])]
                 yield pa.RecordBatch.from_arrays([*[s.rows.column(c).take(pa.array(row)) for c in ("rid", "doc_id")], *[pa.array(c) for c in cols]], ["rid", "doc_id", "start", "size", "reps", "step", "h", "x", "y"])
 
-    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(run, "rid long, doc_id long, start long, size int, reps int, step int, h long, x long, y long")
+    return docs.select("rid", "doc_id", "text", "hs").mapInArrow(lean(run), "rid long, doc_id long, start long, size int, reps int, step int, h long, x long, y long")
 
 
 def _with_bytes(rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _with_bytes(rows: DataFrame) -> DataFrame:
                 data = [s.data[x:y].tobytes() for x, y in zip(lo, lo + size)]
                 yield pa.RecordBatch.from_arrays([*[part.field(c) for c in ("h", "n", "x", "y", "doc_id", "start")], pa.array(data, pa.binary())], ["h", "n", "x", "y", "doc_id", "start", "bytes"])
 
-    return rows.mapInArrow(run, "h long, n long, x long, y long, doc_id long, start long, bytes binary")
+    return rows.mapInArrow(lean(run), "h long, n long, x long, y long, doc_id long, start long, bytes binary")
 
 
 _MARKS = "x long, y long, offs array<int>"
@@ -219,7 +219,7 @@ def _indexed(segments: DataFrame) -> DataFrame:
         if texts:
             yield flush(ids, texts)
 
-    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "x", "y", "bytes").mapInArrow(run, _MARKS)
+    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "x", "y", "bytes").mapInArrow(lean(run), _MARKS)
 
 
 def _compared(segments: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _compared(segments: DataFrame) -> DataFrame:
                 windows = [pa.array(signed(rolling(byte_symbols(raw, v), WINDOW, v)[at])) for v in range(2)]
                 yield pa.RecordBatch.from_arrays([*windows, pa.array(ids), pa.array(start), *[part.column(c).take(pa.array(row)) for c in ("x", "y")], pa.array(place.astype(np.int32))], ["u", "w", "doc_id", "pos", "x", "y", "off"])
 
-    rows = segments.select("bytes", "doc_id", "start", "x", "y").mapInArrow(run, "u long, w long, doc_id long, pos long, x long, y long, off int")
+    rows = segments.select("bytes", "doc_id", "start", "x", "y").mapInArrow(lean(run), "u long, w long, doc_id long, pos long, x long, y long, off int")
     first = rows.groupBy("u", "w").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     late = rows.join(first, ["u", "w"]).filter(F.struct("doc_id", "pos") > F.col("first"))
     return late.groupBy("x", "y").agg(F.collect_list("off").alias("offs"))
@@ -265,7 +265,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                 shas = [hashlib.sha256(s.data[a:b][~out[a:b]].tobytes()).hexdigest() for a, b in zip(s.off, s.off[1:])]
                 yield pa.RecordBatch.from_arrays([s.rows.column("rid"), pa.array(cut(out), pa.int64()), pa.array(cut(begins), pa.int64()), pa.array(shas)], ["rid", "n_removed", "n_spans", "sha"])
 
-    return rows.mapInArrow(run, "rid long, n_removed long, n_spans long, sha string")
+    return rows.mapInArrow(lean(run), "rid long, n_removed long, n_spans long, sha string")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slice, Words, bucket_of, labelled_texts, schema_with, sigmoid, signed, slices
+from .common import Slice, Words, bucket_of, labelled_texts, lean, schema_with, sigmoid, signed, slices
 
 PER_CLASS = 1500
 MAX_TERMS = 4096
@@ -155,7 +155,7 @@ def _sampled_terms(sample: DataFrame) -> list[tuple[int, int, np.ndarray]]:
                 h = [signed(w.hash[a:b]) for a, b in zip(w.first, w.first[1:])]
                 yield pa.RecordBatch.from_arrays([s.rows.column("doc_id"), s.rows.column("label"), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "label", "terms"])
 
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "doc_id long, label int, terms array<long>").collect()
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(run), "doc_id long, label int, terms array<long>").collect()
     return sorted(((r[0], r[1], np.array(r[2], np.int64).view(np.uint64)) for r in rows), key=lambda r: (r[0], r[1], len(r[2])))
 
 
@@ -180,7 +180,7 @@ def document_frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
-    counted = docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    counted = docs.select("text").mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     out = np.zeros(len(vocab) + 1, np.int64)
     for r in counted:
         out[r["term"]] = r["df"]
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     [*keep, "score", "predicted", "evidence", "cosines"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:
