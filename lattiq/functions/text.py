@@ -27,13 +27,18 @@ def n_words(text: Column | str) -> Column:
     return F.size(words(text))
 
 
+PRIVATE = "".join(map(chr, range(0xE000, 0xF900)))
+
+
 def letters(ws: Column, alphabet: Column) -> Column:
     """One character a word, by its place in the alphabet: from the private-use area, and beyond its
     6,400 characters from the planes above (more than 1,000,000 words; none of them is a surrogate)."""
 
+    def far(n: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(n - len(PRIVATE) + 65536), 8, "0")), "UTF-32")
+
     def code(w: Column) -> Column:
-        n = F.array_position(alphabet, w)
-        return F.decode(F.unhex(F.lpad(F.hex(F.when(n < 6400, n + 57344).otherwise(n - 6400 + 65536)), 8, "0")), "UTF-32")
+        return once(F.array_position(alphabet, w).cast("int"), lambda n: F.when(n <= len(PRIVATE), F.substring(F.lit(PRIVATE), n, F.lit(1))).otherwise(far(n)))
 
     return F.array_join(F.transform(ws, code), "")
 
@@ -45,8 +50,12 @@ def word_distance(a: Column | str, b: Column | str) -> Column:
     string distance can be used.
     """
     a, b = col(a), col(b)
-    alphabet = F.array_distinct(F.concat(a, b))
-    return F.levenshtein(letters(a, alphabet), letters(b, alphabet))
+    return once(F.array_distinct(F.concat(a, b)), lambda alphabet: F.levenshtein(letters(a, alphabet), letters(b, alphabet)))
+
+
+def once(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row: written into a lambda it would be once an element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def wer(edits: Column | str, ref_len: Column | str, hyp_len: Column | str) -> Column:

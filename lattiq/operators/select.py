@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letters, word_distance
+from ..functions.text import letters, once, word_distance
 
 KEY = ["set_name", "id"]
 SCORERS = ["mean_conf", "min_conf", "median_conf", "mean_logprob", "neg_entropy", "len_norm_conf", "mbr_wer", "conf_plus_mbr"]
@@ -23,8 +23,9 @@ def pair_distances(pool: DataFrame) -> DataFrame:
     utterance's alphabet, and the pairs are made within the row: one shuffle, and no join.
     """
     c = F.array_sort(F.collect_list(F.struct(F.col("cand_i").alias("i"), "words")))
-    whole = pool.groupBy(*KEY).agg(c.alias("c")).withColumn("alphabet", F.array_distinct(F.flatten("c.words")))
-    spelled = F.transform("c", lambda x: F.struct(x["i"].alias("i"), letters(x["words"], F.col("alphabet")).alias("s"), F.size(x["words"]).alias("n")))
+    whole = pool.groupBy(*KEY).agg(c.alias("c"))
+    spell = lambda alphabet: F.transform("c", lambda x: F.struct(x["i"].alias("i"), letters(x["words"], alphabet).alias("s"), F.size(x["words"]).alias("n")))
+    spelled = once(F.array_distinct(F.flatten("c.words")), spell)
     first = whole.select(*KEY, spelled.alias("c")).select(*KEY, "c", F.explode("c").alias("a"))
     both = first.select(*KEY, "a", F.explode(F.filter("c", lambda x: x["i"] > F.col("a.i"))).alias("b"))
     return both.select(*KEY, F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.levenshtein("a.s", "b.s").alias("d"), F.col("a.n").alias("len_i"), F.col("b.n").alias("len_j"))
