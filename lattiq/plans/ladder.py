@@ -454,9 +454,9 @@ def _(spark, d):
     return policy.predict_width(rows.filter("cluster >= 20"), feats, fit, rows.filter("cluster < 20"), [1, 2, 3, 4, 5, 6, 8], ["set_name"]).select("set_name", "id", "k", "k_needed")
 
 
-@query("stitch_minrisk")
+@query("stitch_versus_vote")
 def _(spark, d):
-    """Expected risk of the one-switch stitch against voting, per set."""
+    """Error rates of the one-switch stitch of best slot scores and of voting, per set."""
     from ..functions.text import word_distance
     from ..operators import network as net
     from .networks import aligned
