@@ -46,6 +46,11 @@ class Anchors:
         self.row = np.searchsorted(first, self.start, "right") - 1
 
 
+def leftmost(grams: np.ndarray) -> np.ndarray:
+    """Place of the anchor in each row of the grams of a window, by the order ``Anchors`` uses."""
+    return np.argmin(grams & ~_PLACE, axis=1)
+
+
 def wanted_anchors(s: Slice, a: Anchors) -> np.ndarray:
     """Numbers of the anchors of a slice that are in their row's list ``hs``."""
     lists = s.rows.column("hs")

@@ -12,8 +12,12 @@ doc_id, or earlier in the same one) is removed.
    run, and for every class of suffixes that agree on ``WINDOW`` bytes a sample of its earliest
    position.  The segments are streamed backwards through it in lockstep; where the match statistic
    reaches ``WINDOW`` and the sample is earlier than the place itself, the window is marked.
-4. Anchors with more than ``HOT`` distinct segments would make one task long: their windows are
-   compared by a partially aggregated group-by on 128-bit digests instead, which is exact too.
+4. Groups of more than ``HOT`` distinct segments would make one task long and are split by longer
+   context: the windows that hold the anchor at offsets of one bin all hold the same bytes around it,
+   which key their piece of the segment.  Equal pieces collapse to the earliest as segments do, pieces
+   alone under their key are done, and what is left is indexed as in 3, or split again into narrower
+   bins.  The last bins are one window wide, where equal keys are equal windows; so a segment costs a
+   few pieces, not one row a window, however common its anchor is.
 5. Marks are united per document.
 
 Occurrences of segments are kept as 128-bit hashes; bytes move only for segments whose anchor has two
@@ -35,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Anchors, recurring, runs, wanted_anchors
-from .common import Slice, byte_symbols, discard, keyed, lean, possible, rolling, signed, slices, span_hash, stored
+from .anchors import Anchors, leftmost, recurring, runs, wanted_anchors
+from .common import Slice, byte_symbols, discard, keyed, lean, mix, possible, rolling, signed, slices, span_hash, stored
 
 WINDOW, GRAM = 100, 24
 HOT = 1024
+BINS = (20, 5, 1)  # widths, each a divisor of the one before
 CHUNK = 600_000
 
 
@@ -110,8 +115,11 @@ class RunLengthIndex:
         k = np.searchsorted(self.class_start, place, "right") - 1
         return np.where((k >= 0) & (place < self.class_end[np.maximum(k, 0)]), self.class_first[np.maximum(k, 0)], -1)
 
-    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, offset) of every window with an earlier occurrence: all texts streamed backwards."""
+    def repeated(self, doc: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(text, offset) of every window with an earlier occurrence: all texts streamed backwards.
+
+        Texts come in order of the documents and places they were cut from; windows at the same
+        place of two rows of one doc_id are not earlier than each other."""
         texts, offsets = [], []
         live = np.argsort(self.begin - self.end, kind="stable")  # longest first
         length = (self.end - self.begin)[live]
@@ -122,6 +130,10 @@ class RunLengthIndex:
             first = self.earliest(place)
             at = self.end[live[:n]] - step
             hit = np.flatnonzero((first >= 0) & (first < at))
+            if doc is not None:
+                there, here = np.searchsorted(self.end, first[hit]), live[hit]
+                place_of = lambda text, x: start[text] + x - self.begin[text]
+                hit = hit[(doc[there] != doc[here]) | (place_of(there, first[hit]) != place_of(here, at[hit]))]
             texts.append(live[hit])
             offsets.append(at[hit] - self.begin[live[hit]])
         return (np.concatenate(texts), np.concatenate(offsets)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -191,59 +203,99 @@ def _with_bytes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "h long, n long, x long, y long, doc_id long, start long, bytes binary")
 
 
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of segments one after the other, their offsets, and where each one's anchor lies."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    gram = rolling(byte_symbols(raw), GRAM)
+    return raw, off, leftmost(gram[off[:-1, None] + np.arange(WINDOW - GRAM + 1)])
+
+
 _MARKS = "x long, y long, offs array<int>"
+_PIECE = "h long, u long, w long, x long, y long, doc_id long, start long, shift int, bytes binary"
 
 
 def _indexed(segments: DataFrame) -> DataFrame:
-    """Marks of the segments of cold anchors: (x, y, offsets of windows that start earlier too)."""
-
-    def flush(ids: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
-        text, off = RunLengthIndex(texts).repeated()
+    """(x, y, offsets of windows that start earlier too) of segments, or of pieces ``shift`` bytes into them."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        texts = [row[-1] for row in held]
+        docs, starts, shifts = (np.array([row[k] for row in held], np.int64) for k in (2, 3, 4))
+        sort = np.lexsort((starts + _joined(texts)[2], docs))  # equal windows are in the order of their anchors
+        held, docs, starts, shifts = [held[i] for i in sort], docs[sort], starts[sort], shifts[sort]
+        xs, ys, *_, texts = zip(*held)
+        text, off = RunLengthIndex(list(texts)).repeated(docs, starts)
         order = np.lexsort((off, text))
-        text, off = text[order], off[order]
+        text, off = text[order], off[order] + shifts[text[order]]
         own, begin = np.unique(text, return_index=True)
         lists = np.split(off.astype(np.int32), begin[1:]) if len(own) else []
-        return pa.RecordBatch.from_arrays([*[pa.array([ids[i][k] for i in own], pa.int64()) for k in range(2)], pa.array(lists, pa.list_(pa.int32()))], ["x", "y", "offs"])
+        return pa.RecordBatch.from_arrays([*[pa.array([ids[i] for i in own], pa.int64()) for ids in (xs, ys)], pa.array(lists, pa.list_(pa.int32()))], ["x", "y", "offs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, held, last = [], [], 0, None
+        held, size, last = [], 0, None
         for batch in batches:
-            for h, x, y, data in zip(*[batch.column(c).to_pylist() for c in ("h", "x", "y", "bytes")]):
-                if h != last and held > CHUNK:
-                    yield flush(ids, texts)
-                    ids, texts, held = [], [], 0
+            for h, *row in zip(*[batch.column(c).to_pylist() for c in ("h", "x", "y", "doc_id", "start", "shift", "bytes")]):
+                if h != last and size > CHUNK:
+                    yield flush(held)
+                    held, size = [], 0
                 last = h
-                ids.append((x, y))
-                texts.append(data)
-                held += len(data)
-        if texts:
-            yield flush(ids, texts)
+                held.append(row)
+                size += len(row[-1])
+        if held:
+            yield flush(held)
 
-    return segments.repartition("h").sortWithinPartitions("h", "doc_id", "start").select("h", "x", "y", "bytes").mapInArrow(lean(run), _MARKS)
+    return segments.repartition("h").sortWithinPartitions("h").select("h", "x", "y", "doc_id", "start", "shift", "bytes").mapInArrow(lean(run), _MARKS)
 
 
-def _compared(segments: DataFrame) -> DataFrame:
-    """The same marks for the segments of hot anchors, by grouping their windows."""
+def _pieces(segments: DataFrame, width: int) -> DataFrame:
+    """Segments (or pieces) cut where the anchor's offset in the window enters another bin of ``width``
+    offsets; h is the hash of the bin and of the bytes all its windows hold, u and w that of the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                data = part.column("bytes").to_pylist()
-                raw = np.frombuffer(b"".join(data), np.uint8)
-                off = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-                count = np.diff(off) - WINDOW + 1
-                row = np.repeat(np.arange(len(data)), count)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                at = off[row] + place
-                ids, start = part.column("doc_id").to_numpy()[row], part.column("start").to_numpy()[row] + place
-                windows = [pa.array(signed(rolling(byte_symbols(raw, v), WINDOW, v)[at])) for v in range(2)]
-                yield pa.RecordBatch.from_arrays([*windows, pa.array(ids), pa.array(start), *[part.column(c).take(pa.array(row)) for c in ("x", "y")], pa.array(place.astype(np.int32))], ["u", "w", "doc_id", "pos", "x", "y", "off"])
-
-    rows = segments.select("bytes", "doc_id", "start", "x", "y").mapInArrow(lean(run), "u long, w long, doc_id long, pos long, x long, y long, off int")
-    first = rows.groupBy("u", "w").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = rows.join(first, ["u", "w"]).filter(F.struct("doc_id", "pos") > F.col("first"))
-    return late.groupBy("x", "y").agg(F.collect_list("off").alias("offs"))
+                raw, off, anchor = _joined(part.column("bytes").to_pylist())
+                final = anchor - (np.diff(off) - WINDOW)  # and in the last
+                low, number = final // width, anchor // width - final // width + 1
+                row = np.repeat(np.arange(part.num_rows), number)
+                bin_ = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+                most, least = np.minimum(anchor[row], bin_ * width + width - 1), np.maximum(final[row], bin_ * width)
+                shift = anchor[row] - most
+                begin = off[row] + shift
+                end = begin + most - least + WINDOW
+                at = off[row] + anchor[row]
+                common = span_hash(raw, at - bin_ * width, at + WINDOW - bin_ * width - width + 1)
+                ids = [part.column(c).take(pa.array(row)) for c in ("x", "y", "doc_id")]
+                start, shifted = (part.column(c).to_numpy()[row] + shift for c in ("start", "shift"))
+                hashes = [signed(mix(common + bin_.astype(np.uint64))), *[signed(span_hash(raw, begin, end, v)) for v in range(2)]]
+                cut = [raw[a:b].tobytes() for a, b in zip(begin, end)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in hashes], *ids, pa.array(start), pa.array(shifted.astype(np.int32)), pa.array(cut, pa.binary())], ["h", "u", "w", "x", "y", "doc_id", "start", "shift", "bytes"])
+
+    return segments.select("x", "y", "doc_id", "start", "shift", "bytes").mapInArrow(lean(run), _PIECE)
+
+
+def _split(segments: DataFrame) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Marks of the segments of hot anchors, and the tables they are read from."""
+    marks, tables = None, []
+    for width in BINS:
+        if segments.isEmpty():
+            break
+        pieces = stored(_pieces(segments, width), f"pieces-{width}")
+        first = stored(pieces.groupBy("h", "u", "w").agg(F.min(F.struct("doc_id", "start")).alias("first")), f"first-{width}")
+        shared = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        here = F.struct("doc_id", "start")
+        late = pieces.withColumn("offs", F.sequence("shift", F.col("shift") + F.length("bytes") - WINDOW)).drop("bytes")
+        late = late.join(first, ["h", "u", "w"]).filter(here > F.col("first")).select("x", "y", "offs")
+        marks = late if marks is None else marks.unionByName(late)
+        tables += [pieces, first]
+        if width == BINS[-1]:
+            break
+        left = stored(pieces.join(shared, "h").join(first, ["h", "u", "w"]).filter(here == F.col("first")).drop("first"), f"left-{width}")
+        marks = marks.unionByName(_indexed(left.filter(F.col("n") <= HOT)))
+        tables.append(left)
+        segments = left.filter(F.col("n") > HOT)
+    return None if marks is None else marks.groupBy("x", "y").agg(F.flatten(F.collect_list("offs")).alias("offs")), tables
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -287,10 +339,11 @@ def report(docs: DataFrame) -> DataFrame:
     variants = distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     listed = distinct.join(variants, "h").groupBy("at.rid").agg(F.collect_list(F.struct("h", "n", "x", "y", "at.doc_id", "at.start", "at.size")).alias("segments"))
     texts = subject.select("rid", "text")
-    bytes_ = stored(_with_bytes(texts.join(listed, "rid")), "bytes")
-    marks = _indexed(bytes_.filter(F.col("n") <= HOT)).unionByName(_compared(bytes_.filter(F.col("n") > HOT)))
-    marks = stored(marks, "marks")
-    discard(bytes_)
+    bytes_ = stored(_with_bytes(texts.join(listed, "rid")).withColumn("shift", F.lit(0)), "bytes")
+    hot, tables = _split(bytes_.filter(F.col("n") > HOT))
+    cold = _indexed(bytes_.filter(F.col("n") <= HOT))
+    marks = stored(cold if hot is None else cold.unionByName(hot), "marks")
+    discard(bytes_, *tables)
     origin = distinct.select("x", "y", "times", "at").join(marks, ["x", "y"], "left").filter("times > 1 or offs is not null").drop("times")
     placed = segments.select("rid", "doc_id", "start", "size", "reps", "step", "x", "y").join(origin, ["x", "y"])
     is_first = (F.col("doc_id") == F.col("at.doc_id")) & (F.col("start") == F.col("at.start"))

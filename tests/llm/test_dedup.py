@@ -1,6 +1,7 @@
 """Removal and near-duplicate operators against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -65,11 +66,26 @@ def test_suffix_dedup(docs, rows):
     assert sorted(tuple(r) for r in suffix_dedup.report(docs).collect()) == brute_bytes(rows)
 
 
-def test_suffix_dedup_of_hot_anchors(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+@pytest.mark.parametrize("hot", [1, 2, 5])
+def test_suffix_dedup_of_hot_anchors(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     assert sorted(tuple(r) for r in suffix_dedup.report(docs).collect()) == brute_bytes(rows)
 
 
+@pytest.mark.parametrize("hot", [1, 1024])
+def test_suffix_dedup_of_a_passage_in_many_surroundings(spark, monkeypatch, hot):
+    """A common passage at many offsets, and rows of one doc_id that share it at one place or at two."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = noise(160)
+    rows = [(i, noise(r.randint(0, 140)) + passage[r.randint(0, 40) :] + noise(r.randint(0, 140))) for i in range(40)]
+    rows += [(50, noise(30) + passage), (50, noise(30) + passage), (50, noise(45) + passage + noise(9)), (-3, passage + noise(7)), (-3, passage), (-3, noise(2) + passage[5:])]
+    rows += [(60, passage + noise(150) + passage[:120])]
+    got = suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(x) for x in got) == brute_bytes(rows)
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.binary(min_size=1, max_size=14).map(lambda b: bytes(97 + x % 2 for x in b)), min_size=1, max_size=6))
 def test_run_length_index(texts):
