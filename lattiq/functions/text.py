@@ -23,6 +23,22 @@ def normalize(text: Column | str) -> Column:
     return F.array_join(words(text), " ")
 
 
+def basic_words(text: Column | str) -> Column:
+    """A second, more forgiving normalisation: bracketed remarks go, and every mark, symbol or
+    punctuation sign becomes a space (so an apostrophe splits a word).  Compatibility forms of
+    letters are left as they are."""
+    said = F.regexp_replace(F.lower(col(text)), r"[<\[][^>\]]*[>\]]", "")
+    said = F.regexp_replace(said, r"\([^)]+\)", "")
+    return F.filter(F.split(F.regexp_replace(said, r"[\p{M}\p{S}\p{P}]", " "), r"\s+"), lambda w: w != "")
+
+
+def second_words(text: Column | str, lang: Column | str, english=None) -> Column:
+    """The second normalisation by language: ``english`` (a function from Column to Column) for
+    English, null where there is none, and the basic one for the others."""
+    other = F.when(col(lang) != "en", basic_words(text))
+    return other if english is None else F.when(col(lang) == "en", english(col(text))).otherwise(other)
+
+
 def n_words(text: Column | str) -> Column:
     return F.size(words(text))
 
@@ -85,6 +101,17 @@ def safe_name(uid: Column | str) -> Column:
     return F.concat_ws("-", F.substring(F.regexp_replace(u, r"[^A-Za-z0-9._-]", "_"), 1, 120), tail)
 
 
+def half_of(cluster: Column | str) -> Column:
+    """0 or 1, by a hash of the cluster: all its utterances are in one half."""
+    return F.crc32(col(cluster).cast("string").cast("binary")) % 2
+
+
+def model_key(model: Column | str, precision: Column | str) -> Column:
+    """The model, with its precision where one is set."""
+    p = col(precision)
+    return F.when(F.coalesce(p, F.lit("")) == "", col(model)).otherwise(F.concat_ws("@", col(model), p))
+
+
 def keep_utterance(duration: Column | str, count: Column | str) -> Column:
     """The quality filter: 0.8 to 28 seconds and 1 to 75 words."""
     return col(duration).between(0.8, 28.0) & col(count).between(1, 75)

@@ -344,3 +344,10 @@ def widen(network: DataFrame, distance: int, decay: float) -> DataFrame:
     scale = F.pow(F.lit(decay), gap.cast("double"))
     new = first.select(*KEY, "slot", "word", (F.col("votes") * scale).alias("votes"), (F.col("conf_sum") * scale).alias("conf_sum"), (F.lit(LAST) + gap * 100_000 + F.col("q")).cast("long").alias("ord"), "total")
     return network.unionByName(new.join(network.select(*KEY, "slot", "word"), [*KEY, "slot", "word"], "left_anti").select(network.columns))
+
+
+def slot_sid(picks: DataFrame, by: list[str]) -> DataFrame:
+    """Substitutions and deletions of a positional network, one slot a reference word, and their rate."""
+    wrong, empty = F.col("word") != F.col("ref_word"), F.col("word") == ""
+    out = picks.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(wrong & ~empty).alias("subs"), F.count_if(empty).alias("dels"))
+    return out.withColumn("wer", 100.0 * (F.col("subs") + F.col("dels")) / F.greatest("n", F.lit(1)))

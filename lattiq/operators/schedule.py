@@ -22,6 +22,25 @@ def plan(sets: DataFrame, models: DataFrame, kind: str = "main", size: int = SHA
     return jobs.withColumn("ord", F.row_number().over(Window.orderBy("tier", "shard", "place", "model")) - 1)
 
 
+def merged(defaults: dict, given: dict) -> dict:
+    """Settings with the given ones over them; tables are merged one level deep."""
+    return defaults | {k: defaults[k] | v if isinstance(v, dict) and isinstance(defaults.get(k), dict) else v for k, v in given.items()}
+
+
+def sweep_plan(sets: DataFrame, listed: list[str], model: str, langs: list) -> DataFrame:
+    """One job for each listed set whose language the model takes, on its first shard, in the
+    listing's order (a small configuration table)."""
+    place = F.array_position(F.array(*[F.lit(x) for x in listed]), F.col("set_name")) if listed else F.lit(0)
+    jobs = sets.filter((place > 0) & F.col("lang").isin(*langs)).withColumns({"tier": F.lit(0), "shard": F.lit(0), "ord": place - 1})
+    return jobs.withColumn("job", F.concat_ws("__", F.lit(model), "set_name", F.lit("s00"), F.lit("sweepT")))
+
+
+def temperature_arms(sets: DataFrame, temperatures: list[float], size: int, steps: int) -> DataFrame:
+    """Arms of a temperature ladder for every row of ``sets``: name, K, T and steps."""
+    arms = F.array(*[F.struct(F.lit(f"T{t:g}").alias("name"), F.lit(size).alias("K"), F.lit(float(t)).alias("T"), F.lit(steps).alias("steps")) for t in temperatures])
+    return sets.withColumn("arm", F.explode(arms)).select(*sets.columns, "arm.*")
+
+
 def status(jobs: DataFrame, done: DataFrame, claimed: DataFrame, dead: DataFrame, manifests: DataFrame) -> DataFrame:
     """done before claimed before dead; waiting while the set has no manifest, else ready."""
     flag = lambda df, key, name: df.select(key).distinct().withColumn(name, F.lit(True))

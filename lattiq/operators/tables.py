@@ -156,3 +156,31 @@ def k_labels(facts: DataFrame, metric: str, tolerance: float = 0.5) -> DataFrame
     near = F.col("e_oracle_comp").isNotNull() & (100.0 * (F.col("e_oracle_comp") - F.col("ov_last")) / F.col("r") <= tolerance)
     out = x.groupBy("model", "set_name", "id").agg(F.min(F.when(F.col(metric) <= F.col("last"), F.col("k"))).alias("k_needed"), F.min(F.when(near, F.col("k"))).alias("knee"), F.count("e_oracle_comp").alias("n_oracle"))
     return out.withColumn("k_knee", F.when(F.col("n_oracle") > 1, F.col("knee"))).drop("knee", "n_oracle")
+
+
+def sweep_table(facts: DataFrame, by: list[str], setting: str) -> DataFrame:
+    """Rates along a swept setting of each arm, at the largest k of all facts."""
+    top = facts.agg(F.max("k").alias("_top"))
+    x = facts.join(F.broadcast(top), F.col("k") == F.col("_top"))
+    names = {"first": "first", "conf": "conf", "mbr": "mbr", "rover": "rover_cg", "oracle_cand": "oracle_cand", "oracle_comp": "oracle_comp"}
+    return x.groupBy(*by, setting).agg(F.count("*").alias("n"), F.avg("pairwise").alias("pairwise"), *[whole(f"e_{c}", rate(f"e_{c}")).alias(n) for n, c in names.items()])
+
+
+def top_weights(weights: DataFrame, name: str, weight: str, n: int) -> DataFrame:
+    """The n features of largest absolute weight, ties by name (a report)."""
+    return weights.orderBy(F.desc(F.abs(weight)), name).limit(n)
+
+
+def split_half(grid: DataFrame, params: list[str], splits: int, side: Column) -> DataFrame:
+    """Every split's two halves, each read with the parameters that were best on the other half.
+
+    ``grid`` has cluster, params, e and ref_len; ``side`` is 0 or 1 from the columns cluster and split.
+    Clusters are summed before they are dealt, so the shuffle has a row for each cluster and parameter.
+    Equal error counts go to the smallest parameters.
+    """
+    sums = grid.groupBy("cluster", *params).agg(F.sum("e").alias("e"), F.sum("ref_len").alias("ref_len"))
+    dealt = sums.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).withColumn("half", side.cast("int"))
+    halves = dealt.groupBy("split", "half", *params).agg(F.sum("e").alias("e"), F.sum("ref_len").alias("ref_len"))
+    w = Window.partitionBy("split", "half").orderBy("e", *params)
+    best = halves.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("split", (1 - F.col("half")).alias("half"), *params)
+    return halves.join(best, ["split", "half", *params])

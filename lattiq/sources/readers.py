@@ -99,3 +99,13 @@ def spread(files: list[str], take: int) -> list[str]:
 def first_per_set(df: DataFrame, by: list[str], n: int, order: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(file, line, value): the first n lines of every text file, gzipped ones too, in file order.
+
+    Lines are ordered by the start of their split, then by reading order.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", "value", F.monotonically_increasing_id().alias("_at"))
+    w = Window.partitionBy("file").orderBy("file_block_start", "_at")
+    return lines.withColumn("line", F.row_number().over(w)).filter(F.col("line") <= n).select("file", "line", "value")

@@ -69,3 +69,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def interval_text(label: str, delta: str, low: str, high: str):
     """'label  +d [lo, hi]', or '(empty)' where there is no estimate."""
     return F.when(F.col(delta).isNull(), F.concat(F.lit(f"{label} (empty)"))).otherwise(F.format_string(f"{label} %+.2f [%+.2f, %+.2f]", delta, low, high))
+
+
+def verdict_text(label: str, delta: str, low: str, high: str, better: str, worse: str, tied: str):
+    """interval_text with the numbers of better, worse and tied utterances."""
+    counts = F.format_string(" better %d / worse %d / tied %d", better, worse, tied)
+    return F.concat(interval_text(label, delta, low, high), F.when(F.col(delta).isNull(), "").otherwise(counts))

@@ -11,8 +11,11 @@ from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder every executor can reach (spark.checkpoint.dir), or a temporary one without it."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="lattiq-")
+    """A new folder every executor can reach: in spark.checkpoint.dir, without which only a local session runs."""
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    top = top or "file://" + tempfile.mkdtemp(prefix="lattiq-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
