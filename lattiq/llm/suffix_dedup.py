@@ -48,12 +48,61 @@ BINS = (20, 5, 1)  # widths, each a divisor of the one before
 CHUNK = 600_000
 
 
-def _ahead(x: np.ndarray, step: int) -> np.ndarray:
-    """x moved forward by step places, zeros beyond the end."""
-    out = np.zeros(len(x), np.int64)
-    if step < len(x):
-        out[: len(x) - step] = x[step:]
-    return out
+def _suffix_order(code: np.ndarray, left: np.ndarray, depth: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places sorted by their suffixes up to the terminator (code 0, ``left`` places ahead), equal tails in
+    text order; and ranks by the first ``depth`` symbols.
+
+    A rank is one more than the place of its first member in the order.  Suffixes begin as one number of as
+    many symbols as 63 bits hold; then only those still tied are sorted, by the ranks of two places ahead."""
+    n = len(code)
+    ahead = lambda x, i, step: np.where(left[i] >= step, x[np.minimum(i + step, n - 1)], 0)
+    used = np.zeros(int(code.max()) + 1, bool)
+    used[code], used[0] = True, True
+    dense, sigma = (np.cumsum(used) - 1)[code], max(int(used.sum()), 2)
+    deep, key = 1, dense.copy()
+    while deep < min(depth, n) and sigma ** (deep + 1) < 1 << 63:
+        key *= sigma
+        key[: n - deep] += dense[deep:]
+        deep += 1
+    short = np.flatnonzero(left < deep - 1)  # nothing beyond the terminator
+    beyond = np.power(sigma, deep - 1 - left[short])
+    key[short] = key[short] // beyond * beyond
+    tied, rank, at_depth, wide = None, np.empty(n, np.int64), None, (n + 2) ** 3 < 1 << 63
+    while True:
+        order = np.argsort(key)
+        key, at = key[order], np.arange(len(order))
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.maximum.accumulate(np.where(head, at, 0))
+        if tied is None:
+            tied = order
+            rank[tied] = place + 1
+        else:
+            tied = tied[order]
+            group = rank[tied]
+            old = np.concatenate([[True], group[1:] != group[:-1]])
+            rank[tied] = group + place - np.maximum.accumulate(np.where(old, at, 0))
+        if deep == depth:
+            at_depth = rank.copy()
+        tied = tied[~(head & np.append(head[1:], True))]
+        tied = tied[left[tied] >= deep]  # tails that have ended stay equal
+        if deep >= max(longest, depth) or not len(tied):
+            break
+        # up to twice as far again, and no further than ``depth`` before it has been reached
+        step = deep if deep >= depth else min(deep, depth - deep)
+        further = step if deep >= depth else min(step, depth - deep - step)
+        key = rank[tied] * (n + 2) + ahead(rank, tied, step)
+        if wide and further:
+            key = key * (n + 2) + ahead(rank, tied, step + further)
+            step += further
+        deep += step
+    order = np.empty(n, np.int64)
+    order[rank - 1] = np.arange(n)
+    same = np.flatnonzero(np.bincount(rank)[rank] > 1)
+    same = same[np.argsort(rank[same], kind="stable")]
+    own = rank[same]
+    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    order[own - 1 + np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own))))] = same
+    return order, rank if at_depth is None else at_depth
 
 
 class RunLengthIndex:
@@ -72,28 +121,16 @@ class RunLengthIndex:
         code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
         code[self.end] = 0
         left = np.repeat(self.end, size) - np.arange(n)  # bytes before the terminator
-        rank, deep = code, 1
-        longest = int(size.max())
-        key = np.zeros(n, np.int64)
-        for j in range(6):
-            key = key * 257 + np.where(left >= j, _ahead(code, j), 0)
-        rank, deep = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1, 6
-        at_depth = rank if depth <= 6 else None
-        while deep < max(longest, depth):
-            step = min(deep, depth - deep) if deep < depth else deep
-            far = np.where(left >= step, _ahead(rank, step), 0)
-            rank = np.unique(rank * (n + 2) + far, return_inverse=True)[1].astype(np.int64) + 1
-            deep += step
-            if deep == depth:
-                at_depth = rank
-        order = np.argsort(rank, kind="stable")  # ties: equal tails, in text order
+        order, at_depth = _suffix_order(code, left, depth, int(size.max()))
         last = code[np.maximum(order - 1, 0)]
-        last[np.isin(order, self.begin)] = 0  # before a text: a terminator
+        begins = np.zeros(n, bool)
+        begins[self.begin] = True
+        last[begins[order]] = 0  # before a text: a terminator
         head = np.concatenate([[True], last[1:] != last[:-1]])
         self.run_start = np.flatnonzero(head)
         self.run_head = last[self.run_start]
         length = np.diff(np.append(self.run_start, n))
-        by_head = np.argsort(self.run_head, kind="stable")
+        by_head = np.argsort(self.run_head.astype(np.uint16), kind="stable")
         self.run_to = np.empty(len(length), np.int64)
         self.run_to[by_head] = np.cumsum(length[by_head]) - length[by_head]
         full = left[order] >= depth
@@ -120,23 +157,27 @@ class RunLengthIndex:
 
         Texts come in order of the documents and places they were cut from; windows at the same
         place of two rows of one doc_id are not earlier than each other."""
-        texts, offsets = [], []
         live = np.argsort(self.begin - self.end, kind="stable")  # longest first
         length = (self.end - self.begin)[live]
-        place = live.astype(np.int64)  # terminators sort first, in text order
-        for step in range(1, int(length[0]) + 1 if len(length) else 1):
-            n = int(np.searchsorted(-length, -step, "right"))
-            place = self.back(place[:n])
-            first = self.earliest(place)
-            at = self.end[live[:n]] - step
-            hit = np.flatnonzero((first >= 0) & (first < at))
-            if doc is not None:
-                there, here = np.searchsorted(self.end, first[hit]), live[hit]
-                place_of = lambda text, x: start[text] + x - self.begin[text]
-                hit = hit[(doc[there] != doc[here]) | (place_of(there, first[hit]) != place_of(here, at[hit]))]
-            texts.append(live[hit])
-            offsets.append(at[hit] - self.begin[live[hit]])
-        return (np.concatenate(texts), np.concatenate(offsets)) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        steps = np.arange(1, int(length[0]) + 1 if len(length) else 1)
+        number = np.searchsorted(-length, -steps, "right")  # texts at least so long
+        if not number.sum():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        everywhere = np.arange(int(self.end[-1]) + 1)
+        back, earliest = self.back(everywhere), self.earliest(everywhere)
+        place, places = live.astype(np.int64), []  # terminators sort first, in text order
+        for n in number:
+            place = back[place[:n]]
+            places.append(place)
+        first = earliest[np.concatenate(places)]
+        text = live[np.arange(len(first)) - np.repeat(np.cumsum(number) - number, number)]
+        at = self.end[text] - np.repeat(steps, number)
+        hit = np.flatnonzero((first >= 0) & (first < at))
+        if doc is not None:
+            there, here = np.searchsorted(self.end, first[hit]), text[hit]
+            place_of = lambda text, x: start[text] + x - self.begin[text]
+            hit = hit[(doc[there] != doc[here]) | (place_of(there, first[hit]) != place_of(here, at[hit]))]
+        return text[hit], at[hit] - self.begin[text[hit]]
 
 
 def _anchors(s: Slice) -> Anchors:
