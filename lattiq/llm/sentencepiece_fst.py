@@ -56,12 +56,20 @@ class Transducer:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.trie: dict = {}
-        for p, i in self.ids.items():
+        # A node's "" is the longest piece on the way to it, and ``shorter`` the next one below a piece; last
+        # comes byte fallback (-2) where no piece is one character, and then none (-3).  The three entries
+        # at the lists' ends are those of -3, -2 and -1.
+        self.trie: dict = {"": -2}
+        self.size = [*map(len, self.text), 0, 1, 0]
+        self.shorter = [-3] * len(self.size)
+        for p in sorted(filter(None, self.ids), key=len):
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                above = node[""]
+                node = node.setdefault(c, {"": above})
+            node[""] = i = self.ids[p]
+            self.shorter[i] = above if len(p) > 1 else -3
+        self.deepest = max(map(len, self.ids), default=0)
         self._stable: dict[int, bool] = {}
         self._stable_old: dict[int, bool] = {}
         self._chunks_old: dict[str, array] = {}
@@ -69,7 +77,7 @@ class Transducer:
         self._chunks: dict[str, array] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "_edge", "_stable", "_stable_old", "_chunks", "_chunks_old")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("trie", "size", "shorter", "deepest", "_edge", "_stable", "_stable_old", "_chunks", "_chunks_old")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -165,57 +173,60 @@ class Transducer:
 
     def _arcs(self, chunk: str, i: int) -> list[tuple[int, int]]:
         """(piece, end) of the pieces that start at i, short to long; piece -2 is byte fallback."""
-        out, node, j, n = [], self.trie, i, len(chunk)
-        while j < n:
-            node = node.get(chunk[j])
-            if node is None:
+        out, node = [], self.trie
+        for c in chunk[i : i + self.deepest]:
+            if c not in node:
                 break
-            j += 1
-            q = node.get("")
-            if q is not None:
-                out.append((q, j))
-        if not out or out[0][1] != i + 1:
-            out.insert(0, (-2, i + 1))
-        return out
+            node = node[c]
+        q = node[""]
+        while q != -3:
+            out.append((q, i + self.size[q]))
+            q = self.shorter[q]
+        return out[::-1]
 
     def _only_path(self, chunk: str) -> list[int] | None:
         """The path of finite weight.  There is at most one, so states are expanded depth first,
         longest piece first, and the first complete path is the shortest."""
-        n, known, stable = len(chunk), self._stable, self.stable
+        if chunk in self.ids:
+            return [self.ids[chunk]]
+        n, known, stable, trie, size, shorter, deepest = len(chunk), self._stable, self.stable, self.trie, self.size, self.shorter, self.deepest
         path: list[int] = []
-        stack = [(-1, 0, self._arcs(chunk, 0))] if n else []
         dead: set[tuple[int, int]] = set()
-        at = 0
-        while at < n:
-            if not stack:
-                return None
-            p, i, arcs = stack[-1]
-            while arcs:
-                q, j = arcs.pop()
-                if p >= 0 and q >= 0:
+        p, i = -1, 0  # the state: the last piece and where it ends
+        while i < n:
+            node = trie
+            for c in chunk[i : i + deepest]:
+                if c not in node:
+                    break
+                node = node[c]
+            q = node[""]
+            while True:
+                if q == -3:
+                    if not path:
+                        return None
+                    dead.add((p, i))
+                    q = path.pop()
+                    i -= size[q]
+                    p = path[-1] if path else -1
+                elif p < 0 or q < 0:
+                    if not dead or (q, i + size[q]) not in dead:
+                        break
+                else:
                     ok = known.get(p << 32 | q)
-                    if not (stable(p, q) if ok is None else ok):
-                        continue
-                if (q, j) in dead:
-                    continue
-                path.append(q)
-                at = j
-                if j < n:
-                    stack.append((q, j, self._arcs(chunk, j)))
-                break
-            else:
-                dead.add((p, i))
-                stack.pop()
-                if path:
-                    path.pop()
+                    if (stable(p, q) if ok is None else ok) and (not dead or (q, i + size[q]) not in dead):
+                        break
+                q = shorter[q]
+            path.append(q)
+            p, i = q, i + size[q]
+        if -2 not in path:
+            return path
         out, i = [], 0
         for q in path:
             if q >= 0:
                 out.append(q)
-                i += len(self.text[q])
             else:
                 out += self._fallback(chunk[i])
-                i += 1
+            i += size[q]
         return out
 
     def _relaxed(self, chunk: str) -> list[int]:
