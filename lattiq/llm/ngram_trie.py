@@ -265,6 +265,11 @@ def shard_of(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int
     return (key % U64(shards)).astype(np.int64)
 
 
+def by_number(which: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of numbers below n; those of 16 bits are sorted by radix."""
+    return np.argsort(which.astype(np.uint16) if n <= 1 << 16 else which, kind="stable")
+
+
 @dataclass
 class Level:
     """Addresses of a level: one path a shard ("" where empty) and the number of its first node."""
@@ -289,7 +294,7 @@ class Level:
         return self._open[i]
 
     def _grouped(self, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(which, kind="stable")
+        order = by_number(which, len(self.paths))
         cut = np.flatnonzero(np.diff(which[order])) + 1
         for part in np.split(order, cut) if len(order) else []:
             if self.paths[which[part[0]]]:
@@ -493,7 +498,7 @@ def _count_level(training: DataFrame, model: Model, n: int, hot: np.ndarray, uri
     def blocks(tally: _Tally, v: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         keys, counts = tally.take()
         where = shard_of(keys // v, keys % v, hot, shards)
-        order = np.argsort(where, kind="stable")
+        order = by_number(where, shards)
         keys, counts, where = keys[order], counts[order], where[order]
         cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
         for lo in range(0, len(cut) - 1, 256):
