@@ -208,7 +208,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for s in slices(batch, limit=SLICE):
                 yield pa.RecordBatch.from_arrays([s.rows.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(s)], pa.binary())], ["doc_id", "shingles"])
 
-    sets = possible(docs.select("doc_id", "text"), wanted).mapInArrow(lean(run), "doc_id long, shingles binary")
+    sets = possible(docs.select("doc_id", "text"), wanted, then=run, schema="doc_id long, shingles binary")
     return sets.join(wanted, "doc_id", "left_semi")
 
 

@@ -239,7 +239,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = placed.withColumn("spans", spans).filter(F.size("spans") > 0).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     found = stored(found, "found")
     discard(segments, hits)
-    cut = stored(_cut(possible(subject.select("rid", "text"), found.select("rid"), "rid").join(found, "rid")), "cut")
+    # Merged, as a broadcast join would leave two Python operators, and so two workers, to a task.
+    cut = stored(_cut(possible(subject.select("rid", "text"), found.select("rid"), "rid").join(found.hint("merge"), "rid")), "cut")
     discard(subject, found)
     return everything, cut
 

@@ -40,3 +40,33 @@ def test_run(spark, docs, empty, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
         n = cp.run(spark, str(tmp_path / name)).count()
         assert (n == 0) == (name == "none")
+
+
+def _operators(cluster):
+    names, inner = [cluster.name()], cluster.childClusters().iterator()
+    while inner.hasNext():
+        names += _operators(inner.next())
+    return names
+
+
+def test_one_python_operator_a_task(spark, docs, rows, tmp_path):
+    """Each one takes a worker of its own, and the executor keeps it: later steps would fill them all."""
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, " ".join(rows[9][1].split()[:30]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sc = spark.sparkContext
+    seen, docs = 0, docs.drop("words")
+    for name, stage in cp.STAGES:
+        sc.setJobGroup(name, name)
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        for job in sc.statusTracker().getJobIdsForGroup(name):
+            for k in sc.statusTracker().getJobInfo(job).stageIds:
+                graph = sc._jsc.sc().statusStore().operationGraphForStage(k)
+                found = [x for x in _operators(graph.rootCluster()) if "Arrow" in x]
+                assert len(found) < 2, (name, k, found)
+                seen += len(found)
+        if name != "language":  # the made-up languages are alike
+            docs = spark.read.parquet(str(tmp_path / name))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert seen > 5
