@@ -45,8 +45,10 @@ def _spoken(group: Column, marks: str) -> Column:
     return F.array_join(F.transform(group, lambda x: F.regexp_replace(x["piece"], f"^[{marks}]+", " ")), "")
 
 
-def _bare(group: Column, marks: str) -> Column:
-    return F.array_join(F.transform(group, lambda x: F.regexp_replace(x["piece"], f"^[{marks}]+", "")), "")
+def _says(group: Column) -> Column:
+    """Whether a SentencePiece word normalises to anything: it has a letter, digit or underscore (the mark
+    is none of them)."""
+    return F.exists(group, lambda x: F.rlike(x["piece"], F.lit(r"[\p{L}\p{N}_]")))
 
 
 def _lined_up(out: Column, text: Column) -> Column:
@@ -60,7 +62,7 @@ def sentence_confidences(pieces: Column, confs: Column, text: Column, special: l
     all, or another number of words than the text has, gives null.
     """
     rows = F.filter(_zip(pieces, conf=confs), lambda x: ~x["piece"].isin(*special))
-    said = F.filter(_groups(rows, SENTENCE_MARK), lambda g: n_words(_bare(g, SENTENCE_MARK)) > 0)
+    said = F.filter(_groups(rows, SENTENCE_MARK), _says)
     return F.when(F.size(rows) > 0, _lined_up(F.transform(said, lambda g: _mean(g, "conf")), text))
 
 
@@ -76,11 +78,11 @@ def word_distributions(pieces: Column, ids: Column, top_ids: Column, top_p: Colu
     """For each word the id of its first token and that token's alternatives: ids and probabilities
     (4 places) of at least ``LEAST_P``; null where the words do not line up."""
     rows = F.filter(_zip(pieces, id=ids, tops=top_ids, ps=top_p), lambda x: ~x["piece"].isin(*special))
-    said = F.filter(_groups(rows, SENTENCE_MARK), lambda g: n_words(_bare(g, SENTENCE_MARK)) > 0)
 
     def first(g: Column) -> Column:
         head = F.element_at(g, 1)
         kept = F.filter(F.transform(head["tops"], lambda t, i: F.struct(t.alias("id"), F.get(head["ps"], i).alias("p"))), lambda x: x["p"] >= LEAST_P)
-        return F.struct(head["id"].alias("first"), F.transform(kept, lambda x: x["id"]).alias("ids"), F.transform(kept, lambda x: F.round(x["p"], 4)).alias("p"))
+        return once(kept, lambda k: F.struct(head["id"].alias("first"), k["id"].alias("ids"), F.transform(k["p"], lambda p: F.round(p, 4)).alias("p")))
 
-    return F.when(F.size(rows) > 0, _lined_up(F.transform(said, first), text))
+    said = lambda own: F.transform(F.filter(_groups(own, SENTENCE_MARK), _says), first)
+    return once(rows, lambda own: F.when(F.size(own) > 0, _lined_up(said(own), text)))

@@ -34,7 +34,7 @@ pword AS (SELECT set_name, id, cand_i, wno, max(said) AS said, max(n_words) AS n
 def _tokens(spark, d):
     """The pool with pieces, conf, ids, top_ids, top_p (a padding piece at the end) and text."""
     p = pool(spark, d)
-    cut = F.flatten(F.transform("words", lambda w: F.when(F.length(w) > 3, F.array(F.concat(F.lit("▁"), F.substring(w, 1, 3)), F.regexp_replace(w, "^...", ""))).otherwise(F.array(F.concat(F.lit("▁"), w)))))
+    cut = F.flatten(F.transform("words", lambda w: F.when(F.length(w) > 3, F.array(F.concat(F.lit("▁"), F.substring(w, 1, 3)), F.substring(w, 4, 1 << 30))).otherwise(F.array(F.concat(F.lit("▁"), w)))))
     said = F.when(F.col("id") % 7 == 0, F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0)))).otherwise(F.col("words"))
     x = p.select(*TOKEN_KEY, "words", F.concat(cut, F.array(F.lit("<pad>"))).alias("pieces"), F.array_join(said, " ").alias("text"))
     each = lambda fn: F.transform("pieces", lambda _, i: fn(i + 1))
@@ -76,7 +76,8 @@ def _(spark, d):
 @query("word_distributions", select_sql(_PIECES, "set_name:s; id:b; cand_i:b; n:b=count(*); first_ids:b=sum(i); kept:b=sum(2 + (id + i) % 2); mass:d=sum(0.9 + 0.0002 * ((id + i) % 2))", "FROM pword WHERE said = n_words GROUP BY 1, 2, 3"))
 def _(spark, d):
     dist = pc.word_distributions(*[F.col(c) for c in ("pieces", "ids", "top_ids", "top_p", "text")], ["<pad>"])
-    x = _tokens(spark, d).filter(F.size("words") > 0).select(*TOKEN_KEY, dist.alias("wd")).filter("wd is not null")
+    # An exploded array is made once a row: a filter on it would otherwise make the distributions again.
+    x = _tokens(spark, d).filter(F.size("words") > 0).select(*TOKEN_KEY, F.explode(F.array(dist)).alias("wd")).filter("wd is not null")
     firsts = F.aggregate("wd", F.lit(0), lambda s, x: s + x["first"])
     kept = F.aggregate("wd", F.lit(0), lambda s, x: s + F.size(x["ids"]))
     mass = F.aggregate(F.flatten("wd.p"), F.lit(0.0), lambda s, x: s + x)
