@@ -111,3 +111,25 @@ def test_utterances_are_dealt_once(name, most, spark):
     from .conftest import SF
 
     assert len(exchanges(QUERIES[name](spark, SF))) <= most
+
+
+def test_neighbours_are_those_of_the_whole_table():
+    """Also among many equal points, and without a table of all queries and all points."""
+    from lattiq.operators.learn import leaves, neighbours
+
+    rng = np.random.default_rng(2)
+    z = np.concatenate([np.round(rng.normal(size=(700, 3)), 1), np.zeros((300, 3)), rng.normal(size=(500, 3))])
+    q = np.concatenate([np.round(rng.normal(size=(60, 3)), 1), np.zeros((2, 3)), rng.normal(size=(40, 3)) * 3])
+    d = np.round(((q[:, None] - z[None]) ** 2).sum(2), 9)
+    for k in (1, 15, 2000):
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        assert (neighbours(q, z, *leaves(z, 32), k) == want).all()
+    assert neighbours(q, z[:0], *leaves(z[:0]), 3).shape == (len(q), 0)
+
+
+def test_distributions_are_made_once_a_row(spark):
+    from lattiq.plans.catalog import QUERIES
+
+    from .conftest import SF
+
+    assert QUERIES["word_distributions"](spark, SF)._jdf.queryExecution().executedPlan().toString().count("arrays_zip(") == 1
