@@ -139,11 +139,9 @@ _ORACLE = ", orc AS (SELECT set_name, id, min(e) AS e_min, max(e) AS e_max FROM
 
 @query("oracle_gap", select_sql(_LONG + _ORACLE + ", j AS (SELECT best.*, e_min, e_max FROM best JOIN orc USING (set_name, id))", "scorer:s; n:b=count(*); corpus_wer:d=100.0 * sum(e) / greatest(sum(ref_len), 1); mean_utt_wer:d=100.0 * avg(e * 1.0 / ref_len); hit_pct:d=100.0 * avg(CASE WHEN e = e_min THEN 1.0 ELSE 0 END); mean_gap:d=100.0 * avg((e - e_min) * 1.0 / ref_len); p50:d=quantile_cont(100.0 * (e - e_min) / ref_len, 0.5); p90:d=quantile_cont(100.0 * (e - e_min) / ref_len, 0.9); p99:d=quantile_cont(100.0 * (e - e_min) / ref_len, 0.99); max_gap:d=max(100.0 * (e - e_min) / ref_len); flat_pct:d=100.0 * avg(CASE WHEN e_min = e_max THEN 1.0 ELSE 0 END)", "FROM j GROUP BY 1"))
 def _(spark, d):
-    scored = sel.with_scores(pool(spark, d))
-    best = sel.scorer_table(scored)
-    orc = scored.groupBy(*KEY).agg(F.min("e").alias("e_min"), F.max("e").alias("e_max"))
+    best = sel.scorer_table(sel.with_scores(pool(spark, d)))
     gap = 100.0 * (F.col("e") - F.col("e_min")) / F.col("ref_len")
-    return best.join(orc, KEY).groupBy("scorer").agg(
+    return best.groupBy("scorer").agg(
         F.count("*").alias("n"), tables.rate("e").alias("corpus_wer"), (100.0 * F.avg(F.col("e") / F.col("ref_len"))).alias("mean_utt_wer"), (100.0 * F.avg((F.col("e") == F.col("e_min")).cast("double"))).alias("hit_pct"),
         F.avg(gap).alias("mean_gap"), F.percentile(gap, 0.5).alias("p50"), F.percentile(gap, 0.9).alias("p90"), F.percentile(gap, 0.99).alias("p99"), F.max(gap).alias("max_gap"), (100.0 * F.avg((F.col("e_min") == F.col("e_max")).cast("double"))).alias("flat_pct"),
     )
